@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import micros
+from ..functions.times import micros, week_key
 from ..operators import records as rec
 from ..sources.testdata import table
 from . import conversations as conv
 from . import nearest as near
+from . import sequences as seq
 from . import tokens
 
 #: Microseconds.
 TOLERANCE, TICK = 20_000_000, 5_000_000
 
 
+def weekly_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    calls = table(spark, folder, "tool_calls").select("id", "session_id", "call_pos", F.lower(rec.trim_all(F.col("name"))).alias("name"), micros(F.col("timestamp")).alias("us"))
+    once = calls.filter("id is null").unionByName(rec.latest(calls.filter("id is not null"), "id", "call_pos").select(*calls.columns))
+    good = once.filter("name != '' and us is not null").select(F.col("session_id").alias("seq_id"), "us", F.col("call_pos").alias("pos"), "id", "name")
+    weeks = seq.sequences(good).withColumn("week_start", week_key(F.col("us")))
+    return seq.frequent(weeks, "week_start")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return weekly_patterns(spark, folder).select("week_start", F.concat_ws(">", "sequence").alias("sequence"))
+
+
+def p1_support(spark: SparkSession, folder: str) -> DataFrame:
+    """The patterns with their support."""
+    return weekly_patterns(spark, folder).select("week_start", F.concat_ws(">", "sequence").alias("sequence"), "support")
+
+
 def prompt_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``uuid, entity, t``: the latest version of each record that is a prompt row with session and readable time."""
     rows = rec.classified(table(spark, folder, "claude_records")).select(
@@ -64,7 +82,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_links, p4_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p8_ids)}
 
 _TIME = """CASE WHEN regexp_matches({c}, '^\\d{{9,15}}$') THEN CAST({c} AS BIGINT) * 1000
  WHEN regexp_matches({c}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)) END"""
@@ -78,7 +96,22 @@ cls AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS tx FROM rec),
 msg AS (SELECT *, type = 'user' AND NOT aside AND NOT result AND tx <> '' AND NOT starts_with(tx, '[Request interrupted') AND (regexp_matches(tx, '<command-name>\\s*([^<\\n]+?)\\s*</command-name>') OR
  NOT starts_with(tx, '<local-command-stdout>') AND NOT regexp_matches(tx, '^<(system-reminder|task-notification|background-task|tool-reminder)\\b')) AS is_prompt FROM cls)"""
 
+_SEQ = f"""WITH once AS (SELECT session_id, call_pos, lower(trim(name)) AS name, {_T} AS t FROM (SELECT DISTINCT ON (id) * FROM tool_calls)),
+good AS (SELECT * FROM once WHERE name <> '' AND t IS NOT NULL AND session_id IS NOT NULL),
+wk AS (SELECT session_id, strftime(date_trunc('week', make_timestamp(min(t))), '%Y-%m-%d') AS week_start FROM good GROUP BY 1),
+c AS (SELECT wk.week_start, g.session_id, g.name, row_number() OVER (PARTITION BY g.session_id ORDER BY g.t, g.call_pos) AS o FROM good g JOIN wk USING (session_id)),
+tot AS (SELECT week_start, count(*) AS total FROM wk GROUP BY 1),
+p1 AS (SELECT week_start, session_id, [name] AS s, min(o) AS o FROM c GROUP BY ALL),
+"""
+_GROW = """p{k} AS (SELECT c.week_start, c.session_id, list_append(p.s, c.name) AS s, min(c.o) AS o FROM p{j} p JOIN c ON p.session_id = c.session_id AND c.o > p.o AND NOT list_contains(p.s, c.name)
+ JOIN f{j} f ON f.week_start = p.week_start AND f.s = p.s GROUP BY ALL),
+"""
+_FREQ = "f{k} AS (SELECT q.week_start, q.s, q.support FROM (SELECT week_start, s, count(*) AS support FROM p{k} GROUP BY ALL) q JOIN tot USING (week_start) WHERE q.support >= 3 AND q.support * 5 >= tot.total),\n"
+_ALL = _SEQ + _FREQ.format(k=1) + "".join(_GROW.format(k=k, j=k - 1) + _FREQ.format(k=k) for k in range(2, 6)) + "a AS (SELECT * FROM f3 UNION ALL SELECT * FROM f4 UNION ALL SELECT * FROM f5)\n"
+
 SQL = {
+    "p1_found": _ALL + "SELECT week_start, array_to_string(s, '>') AS sequence FROM a",
+    "p1_support": _ALL + "SELECT week_start, array_to_string(s, '>') AS sequence, support FROM a",
     "p4_found": f"""WITH {_REC}, ev AS (SELECT DISTINCT event_id, session_id, {_TS} AS t FROM git_trace WHERE event = 'UserPromptSubmit' AND head <> '')
 SELECT m.uuid, e.event_id FROM msg m JOIN ev e ON m.session_id = e.session_id AND abs(m.t - e.t) <= 20000000 WHERE m.is_prompt
 QUALIFY row_number() OVER (PARTITION BY m.uuid ORDER BY abs(m.t - e.t), e.event_id) = 1""",
