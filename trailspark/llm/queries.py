@@ -10,6 +10,7 @@ from ..operators import records as rec
 from ..sources.testdata import table
 from . import conversations as conv
 from . import nearest as near
+from . import secrets
 from . import sequences as seq
 from . import tokens
 
@@ -78,11 +79,26 @@ def p3_links(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("channel").alias("session_id"), F.col("id").alias("uuid"), "parent_id", F.round("score", 6).alias("score"))
 
 
+def p6_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Every credential with its key and its place in bytes."""
+    calls = secrets.scan(table(spark, folder, "tool_calls"), "id", ["input", "outputPreview"])
+    return calls.unionByName(secrets.scan(table(spark, folder, "steps"), "id", ["promptText"])).distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_places(spark, folder).select("row_id", "field", "secret").distinct()
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The calls with their credentials replaced."""
+    return secrets.redacted(table(spark, folder, "tool_calls").select("id", "input", "outputPreview"), ["input", "outputPreview"])
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p6_found, p6_places, p6_redacted, p8_ids)}
 
 _TIME = """CASE WHEN regexp_matches({c}, '^\\d{{9,15}}$') THEN CAST({c} AS BIGINT) * 1000
  WHEN regexp_matches({c}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)) END"""
