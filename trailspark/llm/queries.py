@@ -9,6 +9,7 @@ from ..functions.times import micros, week_key
 from ..operators import records as rec
 from ..sources.testdata import table
 from . import conversations as conv
+from . import leaks
 from . import nearest as near
 from . import secrets
 from . import sequences as seq
@@ -98,7 +99,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p6_found, p6_places, p6_redacted, p8_ids)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["prompt", "answer"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p6_found, p6_places, p6_redacted, p8_ids, p9_found)}
 
 _TIME = """CASE WHEN regexp_matches({c}, '^\\d{{9,15}}$') THEN CAST({c} AS BIGINT) * 1000
  WHEN regexp_matches({c}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)) END"""
