@@ -13,7 +13,7 @@ from . import leaks
 from . import nearest as near
 from . import secrets
 from . import sequences as seq
-from . import tokens
+from . import subjects, tokens
 
 #: Microseconds.
 TOLERANCE, TICK = 20_000_000, 5_000_000
@@ -103,7 +103,22 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", ["prompt", "answer"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p6_found, p6_places, p6_redacted, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # The table of areas is a fixed list of a few rows.
+    areas = table(spark, folder, "subject_areas").select("subject", F.concat_ws(". ", "title", "description").alias("about")).filter("subject is not null").orderBy("subject").collect()
+    sample = subjects.labelled_sample(docs, table(spark, folder, "subject_labels"))
+    model = subjects.train(sample, [r.subject for r in areas], {r.subject: r.about for r in areas})
+    return subjects.assign(docs, "doc_id", "text", model)
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents and characters each area has."""
+    found = p10_found(spark, folder).join(table(spark, folder, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p6_found, p6_places, p6_redacted, p8_ids, p9_found, p10_found, p10_composition)}
 
 _TIME = """CASE WHEN regexp_matches({c}, '^\\d{{9,15}}$') THEN CAST({c} AS BIGINT) * 1000
  WHEN regexp_matches({c}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)) END"""
