@@ -1,8 +1,8 @@
-"""Scalar functions on prompts, tool calls and names, as Column -> Column."""
+"""Functions on prompts, tool calls and names, as Column -> Column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Phrases that leave a decision open.
@@ -131,20 +131,26 @@ def command_text(c: Column) -> Column:
     return F.coalesce(member("command"), F.when(quoted != "", F.regexp_replace(quoted, r"\\(.)", "$1")), member("cmd"))
 
 
-def shell_verb(c: Column) -> Column:
-    """First word of a command without assignments, wrapper shells (three deep) and folders."""
-    strip = lambda x: F.regexp_replace(trimmed(x), r"^(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+", "")
-    out = strip(c)
-    for _ in range(3):
-        out = F.when(out.rlike(r"^(?:\S*/)?(?:bash|sh|zsh)\s+-l?c(?:\s|$)"), strip(F.regexp_replace(F.regexp_replace(out, r"^\S+\s+-l?c\s*", ""), r"^['\"]", ""))).otherwise(out)
-    word = F.regexp_extract(F.regexp_extract(out, r"^(\S+)", 1), r"([^/]*)$", 1)
-    return F.when(word != "", word)
+def _stripped(c: Column) -> Column:
+    """A command without leading blanks and assignments."""
+    return F.regexp_replace(c, r"^\s*(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)+|^\s+", "")
+
 
+def with_labels(calls: DataFrame, name: str = "name", raw: str = "input") -> DataFrame:
+    """Adds ``command``, ``verb`` and ``label`` to tool calls.
 
-def tool_label(name: Column, raw_input: Column) -> Column:
-    """A call's name, with ``:apply_patch`` or the verb of its command."""
-    verb = shell_verb(command_text(raw_input))
-    return F.when(raw_input.contains(PATCH), F.concat(name, F.lit(":apply_patch"))).when(verb.isNotNull(), F.concat(name, F.lit(":"), verb)).otherwise(name)
+    The verb is the first word of the command without assignments, wrapper
+    shells (three deep) and folders; the label is the name with
+    ``:apply_patch`` or the verb. Each stage is a column of its own, so that
+    the plan doesn't repeat the stage before.
+    """
+    df = calls.withColumn("command", command_text(F.col(raw))).withColumn("_c", _stripped(F.col("command")))
+    for _ in range(3):
+        inner = F.regexp_replace(F.regexp_replace("_c", r"^\S+\s+-l?c\s*", ""), r"^['\"]", "")
+        df = df.withColumn("_c", F.when(F.col("_c").rlike(r"^(?:\S*/)?(?:bash|sh|zsh)\s+-l?c(?:\s|$)"), _stripped(inner)).otherwise(F.col("_c")))
+    df = df.withColumn("verb", F.nullif(F.regexp_extract(F.regexp_extract("_c", r"^(\S+)", 1), r"([^/]*)$", 1), F.lit("")))
+    label = F.when(F.col(raw).contains(PATCH), F.concat(name, F.lit(":apply_patch"))).when(F.col("verb").isNotNull(), F.concat(name, F.lit(":"), "verb")).otherwise(F.col(name))
+    return df.withColumn("label", F.coalesce(label, F.lit("(unknown)"))).drop("_c")
 
 
 def server_a(name: Column) -> Column:
