@@ -36,7 +36,9 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: int, tick: int) -> Dat
         .agg(F.min(F.struct(F.when(F.col("_side") < 0, -F.col("_t")).otherwise(F.col("_t")).alias("o"), F.col("_rid").alias("rid"), F.col("_t").alias("t"))).alias("b"))
     )
     table = kept.groupBy("_e", "_k").agg(F.collect_list(F.struct(F.col("b.t").alias("t"), F.col("b.rid").alias("rid"))).alias("_near"))
-    l = left.filter("entity is not null and t is not null").withColumn("_k", F.floor(F.col("t") / tick))
-    best = F.expr("array_min(transform(_near, x -> struct(abs(x.t - t) as distance, x.rid as rid)))")
-    met = l.join(table, (F.col("entity") == F.col("_e")) & (l["_k"] == table["_k"])).select(*[l[c] for c in left.columns], best.alias("_b"))
-    return met.filter(F.col("_b.distance") <= tolerance).select(*left.columns, F.col("_b.rid").alias("rid"), F.col("_b.distance").alias("distance"))
+    # The left row travels as one column, so none of its names can clash.
+    l = left.filter(F.col("entity").isNotNull() & F.col("t").isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_l")).withColumn("_lk", F.floor(F.col("_l.t") / tick))
+    best = F.expr("array_min(transform(_near, x -> struct(abs(x.t - _l.t) as distance, x.rid as rid)))")
+    met = l.join(table, (F.col("_l.entity") == F.col("_e")) & (F.col("_lk") == F.col("_k"))).select("_l", best.alias("_b")).filter(F.col("_b.distance") <= tolerance)
+    own = [F.col(f"_l.`{c}`").alias(f"left_{c}" if c in ("rid", "distance") else c) for c in left.columns]
+    return met.select(*own, F.col("_b.rid").alias("rid"), F.col("_b.distance").alias("distance"))

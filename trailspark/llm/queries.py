@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import micros, week_key
 from ..operators import records as rec
+from ..plans.sqlparts import TEXT, TIME
 from ..sources.testdata import table
 from . import conversations as conv
 from . import leaks
@@ -120,11 +121,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_support, p3_found, p3_links, p4_found, p6_found, p6_places, p6_redacted, p8_ids, p9_found, p10_found, p10_composition)}
 
-_TIME = """CASE WHEN regexp_matches({c}, '^\\d{{9,15}}$') THEN CAST({c} AS BIGINT) * 1000
- WHEN regexp_matches({c}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') THEN epoch_us(TRY_CAST({c} AS TIMESTAMPTZ)) END"""
-_T, _TS = _TIME.format(c="timestamp"), _TIME.format(c="ts")
-_TEXT = """CASE WHEN NOT coalesce(json_valid(message.content), false) THEN '' WHEN json_type(message.content) = 'VARCHAR' THEN message.content ->> '$'
- WHEN json_type(message.content) = 'ARRAY' THEN coalesce(array_to_string(list_transform(list_filter(CAST(json(message.content) AS JSON[]), lambda b: (b ->> '$.type') = 'text' AND json_type(b, '$.text') = 'VARCHAR'), lambda b: b ->> '$.text'), chr(10)), '') ELSE '' END"""
+_T, _TS, _TEXT = TIME.format(c="timestamp"), TIME.format(c="ts"), TEXT
 _REC = f"""rec AS (SELECT lower(uuid) AS uuid, line_no, type, coalesce(sessionId, session_id) AS session_id, {_T} AS t, coalesce(isSidechain, false) OR coalesce(isMeta, false) OR coalesce(isCompactSummary, false) AS aside,
  coalesce(json_valid(message.content), false) AS ok, message.role AS role, {_TEXT} AS text, CASE WHEN json_valid(message.content) AND json_type(message.content) = 'ARRAY' THEN len(list_filter(CAST(json(message.content) AS JSON[]), lambda b: (b ->> '$.type') = 'tool_result')) > 0 ELSE false END AS result
  FROM claude_records WHERE uuid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(uuid) ORDER BY line_no DESC) = 1),

@@ -142,7 +142,7 @@ class Model:
 
     def areas_of(self, text: str | None, share: float = SHARE) -> list[str]:
         feats = [f for f in map(features, sentences(text)) if f]
-        if not feats:
+        if not feats or not self.areas:
             return []
         a = self.sentence_areas(Rows(feats))
         n = np.bincount(a[a >= 0], minlength=len(self.areas))
@@ -179,7 +179,7 @@ def train(docs: list[tuple[str, dict[str, float]]], areas: list[str], described:
                 feats.append(f)
                 doc_of.append(d)
                 y.append(target)
-    if not feats:
+    if not feats or not areas:
         return Model(areas, np.zeros((BUCKETS, k), dtype=np.float32), np.full(k, -9.0), np.full(k, SURE))
     for a, text in (described or {}).items():
         f = features(text) if text else []
