@@ -207,6 +207,9 @@ def frequent(seqs: DataFrame, group: str, share: float = 0.2, least: int = 3, sh
         return pd.DataFrame(rows, columns=["g", "sequence", "n", "blocks", "total"])
 
     kind = "g string, sequence array<string>, n bigint, blocks bigint, total bigint"
+    # Blocks are few bytes but much work: a fixed number of tasks keeps them from being merged by size.
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = table.repartition(tasks, "g", "b")
     mined = materialize(table.groupBy("g", "b").applyInPandas(local, kind))
     whole = mined.filter("blocks = 1").select("g", "sequence", "n", "total")
     # Groups of several blocks: every block's finds are counted in all blocks.
