@@ -101,9 +101,10 @@ def forest(rows: DataFrame, node: str, parent: str, near: list[str], order: str,
     Result: ``id, root_id, depth``; on or below a loop ``root_id`` is
     ``'cycle'`` and ``depth`` -1. With ``paths`` also ``path`` (ids from root
     to node; empty on loops) and ``descendants`` (their number; null on
-    loops). An empty table gives an empty result.
+    loops). An empty table gives an empty result; rows of a null id are left
+    out; for tables with repeated ids see :func:`trees`.
     """
-    nodes = rows.select(
+    nodes = rows.filter(F.col(node).isNotNull()).select(
         F.col(node).cast("string").alias("id"),
         F.when(F.col(parent) != "", F.col(parent)).cast("string").alias("parent"),
         F.xxhash64(*near).alias("_near"),
@@ -174,6 +175,14 @@ def forest(rows: DataFrame, node: str, parent: str, near: list[str], order: str,
     )
 
 
+def trees(rows: DataFrame, node: str, parent: str, near: list[str], order: str, paths: bool = False) -> DataFrame:
+    """:func:`forest` over rows of which several may have one id: the one with the greatest ``order`` counts."""
+    from .records import latest
+
+    kept = rows.select(*dict.fromkeys([node, order, parent, *near]))
+    return forest(latest(kept, node, order), node, parent, near, order, paths)
+
+
 def closure(tree: DataFrame) -> DataFrame:
     """All pairs ``ancestor, descendant, distance`` of a forest with paths; loops have none."""
     return tree.filter("depth > 0").select(F.col("id").alias("descendant"), "depth", F.posexplode(F.expr("slice(path, 1, depth)")).alias("pos", "ancestor")).select("ancestor", "descendant", (F.col("depth") - F.col("pos")).cast("bigint").alias("distance"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, hierarchy, nested
-from ..operators.records import latest
 from ..sources.testdata import table
 
 
@@ -14,7 +13,7 @@ def _tree(spark: SparkSession, folder: str, paths: bool) -> DataFrame:
     rows = table(spark, folder, "claude_records").select(
         F.lower("uuid").alias("uuid"), "line_no", F.lower("parentUuid").alias("parent"), "file_path"
     )
-    return hierarchy.forest(latest(rows), "uuid", "parent", ["file_path"], "line_no", paths)
+    return hierarchy.trees(rows, "uuid", "parent", ["file_path"], "line_no", paths)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
