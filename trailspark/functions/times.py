@@ -19,6 +19,7 @@ def micros(c: Column) -> Column:
     """
     t = F.trim(c)
     iso = F.regexp_replace(F.upper(t), ",", ".")
+    iso = F.regexp_replace(iso, r"^(.{10})[T ](\d{2}:\d{2})(?=$|[Z+-])", "$1T$2:00")
     # An offset of the form +hh or +hhmm is spelt +hh:mm for the cast.
     iso = F.regexp_replace(iso, r"(:\d{2}(?:\.\d+)?|T\d{2}:\d{2})([+-]\d{2})$", "$1$2:00")
     iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")

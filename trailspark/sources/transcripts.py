@@ -111,7 +111,11 @@ def in_scope(refs: DataFrame, agent: str = "all", since: str | None = None, limi
 
 def first_folder(lines: DataFrame, within: int = 8) -> DataFrame:
     """``file_path, cwd``: the first text ``cwd`` in the first lines of each file."""
-    c = F.coalesce(F.try_variant_get("value", "$.cwd", "string"), F.try_variant_get("value", "$.payload.cwd", "string"))
+    def text(path: str):
+        x = F.try_variant_get("value", path, "variant")
+        return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+    c = F.coalesce(text("$.cwd"), text("$.payload.cwd"))
     return head(lines, within).withColumn("cwd", c).filter("cwd is not null").groupBy("file_path").agg(F.min_by("cwd", "line_no").alias("cwd"))
 
 
