@@ -1,0 +1,115 @@
+"""``python -m trailspark COMMAND --a ROOT --b ROOT``: reports over transcript folders."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import report
+from .functions import text as tx
+from .functions.times import micros
+from .operators import cluster, format_a, format_b, rollups, signals
+from .session import build_session
+from .sources import transcripts
+
+SCOPES = {"prompter": 25, "distill": 50, "intents": 50, "models": 100, "project": 200, "analyze": 10**9, "compare": 10**9}
+
+
+def refs(spark: SparkSession, a: str | None, b: str | None, index: str | None = None) -> DataFrame:
+    """The session files of both agents."""
+    out = transcripts.list_a(spark, a or "/nonexistent").withColumn("title", F.lit(None).cast("string"))
+    return out.unionByName(transcripts.list_b(spark, b or "/nonexistent", index))
+
+
+def load(spark: SparkSession, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalized steps and tool calls of the files in scope (their paths are listed first, so only these are read)."""
+    paths: dict[str, list[str]] = {"a": [], "b": []}
+    for r in scope.select("agent", "file_path").collect():  # bounded by the scope's limit of files
+        paths[r.agent].append(r.file_path)
+    steps = calls = None
+    for agent, mod, shape in (("a", format_a, transcripts.records_a), ("b", format_b, transcripts.lines_b)):
+        if not paths[agent]:
+            continue
+        rows = mod.lines(shape(transcripts.read_jsonl(spark, paths[agent])))
+        rows = mod.in_steps(rows) if agent == "a" else mod.in_turns(rows)
+        s, c = mod.steps_table(rows), mod.calls_table(rows)
+        steps, calls = (s, c) if steps is None else (steps.unionByName(s), calls.unionByName(c))
+    if steps is None:
+        raise SystemExit("no session files in scope")
+    return steps, calls
+
+
+def reports(name: str, steps: DataFrame, calls: DataFrame, args: argparse.Namespace) -> list[tuple[str, DataFrame]]:
+    """The named parts of a report."""
+    once, made = signals.once(steps).withColumn("us", micros(F.col("timestamp"))), rollups.calls_once(calls)
+    if name in ("analyze", "compare"):
+        roll = rollups.session_rollup(once, made)
+        if name == "compare":
+            return [("comparison", rollups.compared(roll, args.id, args.other, ["steps", "api_calls", "tool_calls", "mcp_calls", "tool_errors"]).orderBy("metric"))]
+        pick = F.col("session_id").startswith(args.id or "")
+        return [("sessions", roll.filter(pick).orderBy("session_id")), ("tools", rollups.tool_stats(made.filter(pick)).orderBy(F.desc("calls"), "name"))]
+    if name == "distill":
+        sig = signals.signals(steps)
+        seq = rollups.tool_sequences(made).withColumn("sequence", F.array_join("sequence", " > "))
+        return [("recurring prompts", cluster.clusters(sig).orderBy(F.desc("members"), "leader_id").limit(15)), ("tool sequences", seq.orderBy(F.desc(F.col("count") * F.col("n")), "sequence").limit(12))]
+    if name == "intents":
+        first = rollups.first_prompts(once)
+        return [("intents", first.groupBy("intent").agg(F.count("*").alias("sessions")).orderBy(F.desc("sessions"), "intent"))]
+    if name == "project":
+        return [("workflow", rollups.workflow(made).orderBy("session_id")), ("servers", rollups.server_stats(made).orderBy(F.desc("calls"), "mcpServer"))]
+    sig = signals.signals(steps)
+    return [("totals", signals.totals(sig, "kind")), ("weeks", signals.weekly(sig).orderBy("week")), ("rules tripped", signals.lints(sig))]
+
+
+def main(argv: list[str] | None = None) -> int:
+    p = argparse.ArgumentParser(prog="trailspark", description=__doc__)
+    p.add_argument("command", choices=["list", "analyze", "compare", "prompter", "distill", "intents", "project", "fork"])
+    p.add_argument("--a", help="root of format A transcripts")
+    p.add_argument("--b", help="root of format B transcripts")
+    p.add_argument("--index", help="session index of format B")
+    p.add_argument("--agent", default="all")
+    p.add_argument("--since", help="such as 30d, or a date")
+    p.add_argument("--limit", type=int)
+    p.add_argument("--id", help="session id or prefix")
+    p.add_argument("--other", help="second session of compare")
+    p.add_argument("--at", type=int, default=0, help="step at which fork cuts")
+    p.add_argument("--json", action="store_true")
+    p.add_argument("--html", help="file to write a page to")
+    args = p.parse_args(argv)
+    spark = build_session()
+    spark.sparkContext.setLogLevel("ERROR")
+    found = refs(spark, args.a, args.b, args.index)
+    if args.command == "list":
+        shown = transcripts.in_scope(found, args.agent, args.since, args.limit or 15).orderBy(F.desc_nulls_last("updated_at"), "session_id")
+        parts = [("sessions", shown.select("agent", tx.short_id(F.col("session_id")).alias("id"), "title", "updated_at", "size_bytes"))]
+    elif args.command == "fork":
+        sid = transcripts.find(found, args.id or "")
+        if sid is None:
+            raise SystemExit(f"no session {args.id}")
+        path = found.filter(F.col("session_id") == sid).first().file_path
+        lines = transcripts.read_jsonl(spark, path)
+        rows = format_a.in_steps(format_a.lines(transcripts.records_a(lines)))
+        kept = format_a.fork(rows, spark.createDataFrame([(path, args.at)], "file_path string, step_idx long")).filter("kept").select("line_no")
+        if kept.isEmpty():
+            raise SystemExit(f"session {sid} has no step {args.at}")
+        new, to, n = report.write_fork(lines.join(kept, "line_no"), path.removeprefix("file:").rpartition("/")[0], sid)
+        print(f"{new}: {n} lines in {to}")
+        return 0
+    else:
+        scope = transcripts.in_scope(found, args.agent, args.since, args.limit or SCOPES[args.command])
+        parts = reports(args.command, *load(spark, scope), args)
+    if args.html:
+        with open(args.html, "w") as f:
+            f.write(report.as_html(f"trailspark {args.command}", parts))
+    elif args.json:
+        print("{" + ",\n".join(f'"{n}": {report.as_json(d)}' for n, d in parts) + "}")
+    else:
+        print("\n\n".join(f"{n}\n{report.text_table(d)}" for n, d in parts))
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -112,13 +112,21 @@ def attributes(lines_: DataFrame) -> DataFrame:
 
 
 def volume(lines_: DataFrame) -> DataFrame:
-    """Characters (UTF-16 units) that humans, the harness and tools put into each file."""
+    """Characters (UTF-16 units) that humans, the harness and tools put into each file.
+
+    An attachment counts with its JSON text; a tool result with its string,
+    or the length of its JSON.
+    """
     n = lambda c: F.coalesce(tx.utf16_length(c), F.lit(0))
     reminders = F.array_join(F.regexp_extract_all("text", F.lit(r"(<system-reminder>[\s\S]*?</system-reminder>)"), 1), "")
     args = F.nullif(F.regexp_extract("text", rec.COMMAND_ARGS, 1), F.lit(""))
     human = F.when(F.col("row_class") == "prompt", n(F.col("text")) - n(reminders)).when(F.col("row_class") == "command", n(F.coalesce(args, F.regexp_extract("text", rec.COMMAND_NAME, 1)))).otherwise(0)
-    harness = F.when(F.col("row_class") == "prompt", n(reminders)).when((F.col("type") == "user") & F.coalesce("isMeta", F.lit(False)), n(F.col("text"))).otherwise(0)
-    return lines_.groupBy("file_path").agg(F.sum(human).alias("human_chars"), F.sum(harness).alias("harness_chars"))
+    harness = F.when(F.col("type") == "attachment", n(F.col("attachment"))).when(F.col("row_class") == "prompt", n(reminders)).when((F.col("type") == "user") & F.coalesce("isMeta", F.lit(False)), n(F.col("text"))).otherwise(0)
+    own = lines_.groupBy("file_path").agg(F.sum(human).alias("human_chars"), F.sum(harness).alias("harness_chars"))
+    content = F.try_variant_get("b", "$.content", "variant")
+    size = F.when(content.isNull(), F.lit(2)).when(F.schema_of_variant(content) == "STRING", n(F.try_variant_get(content, "$", "string"))).otherwise(n(F.to_json(content)))
+    tool = blocks(lines_.filter("type = 'user'"), "tool_result").groupBy(F.col("file_path").alias("_f")).agg(F.sum(size).alias("tool_chars"))
+    return own.join(tool, F.col("file_path") == F.col("_f"), "left").select("file_path", "human_chars", "harness_chars", F.coalesce("tool_chars", F.lit(0)).alias("tool_chars"))
 
 
 def responses(rows: DataFrame) -> DataFrame:
@@ -138,3 +146,24 @@ def fork(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     known = rows.filter("step_idx is not null").select(F.col("file_path").alias("_f"), F.col("step_idx").alias("_s")).distinct()
     met = rows.join(a.join(known, ["_f", "_s"]), F.col("file_path") == F.col("_f"))
     return met.withColumn("kept", (F.coalesce(F.col("step_idx") <= F.col("_s"), F.lit(True))) & (F.col("type") != "last-prompt")).drop("_f", "_s")
+
+
+def steps_table(rows: DataFrame) -> DataFrame:
+    """The normalized steps of :func:`in_steps` rows, in the columns of the ``steps`` table."""
+    s = steps(rows)
+    use = usage_by(api_calls(rows), "file_path", "step_idx").select(F.col("file_path").alias("_f"), F.col("step_idx").alias("_s"), "api_calls")
+    ids = rows.groupBy("file_path").agg(F.max_by(rec.session_of(), F.when(rec.session_of().isNotNull(), -F.col("line_no"))).alias("session_id")).withColumnRenamed("file_path", "_p")
+    met = s.join(use, (F.col("file_path") == F.col("_f")) & (F.col("step_idx") == F.col("_s")), "left").join(ids, F.col("file_path") == F.col("_p"))
+    return met.select(
+        "session_id", F.coalesce("step_id", F.concat_ws("#", "file_path", "step_idx")).alias("id"), "step_idx", "kind", F.col("command_name").alias("commandName"), F.col("ts_raw").alias("timestamp"), F.lit(None).cast("bigint").alias("durationMs"),
+        F.col("prompt_text").alias("promptText"), tx.preview(F.col("prompt_text"), 120).alias("promptPreview"), F.when(F.col("aborted"), True).alias("aborted"), F.coalesce("api_calls", F.lit(0)).alias("apiCalls"),
+    )
+
+
+def calls_table(rows: DataFrame) -> DataFrame:
+    """The normalized tool calls of :func:`in_steps` rows, in the columns of the ``tool_calls`` table."""
+    inputs = blocks(rows.filter("type = 'assistant'"), "tool_use").select(F.col("file_path").alias("_f"), F.col("line_no").alias("_l"), F.col("pos").alias("_q"), rec.session_of().alias("session_id"), "timestamp", F.coalesce(string_member("input"), F.to_json(F.try_variant_get("b", "$.input", "variant"))).alias("input"))
+    c = linked(tool_calls(rows), tool_results(rows))
+    sid = steps(rows).select(F.col("file_path").alias("_sf"), F.col("step_idx").alias("_ss"), F.coalesce("step_id", F.concat_ws("#", "file_path", "step_idx")).alias("step_id"))
+    met = c.join(inputs, (F.col("file_path") == F.col("_f")) & (F.col("line_no") == F.col("_l")) & (F.col("pos") == F.col("_q"))).join(sid, (F.col("file_path") == F.col("_sf")) & (F.col("step_idx") == F.col("_ss")), "left")
+    return met.select("session_id", "step_id", (F.col("line_no") * 1000 + F.col("pos")).alias("call_pos"), F.col("call_id").alias("id"), "name", F.col("is_mcp").alias("isMcp"), F.col("mcp_server").alias("mcpServer"), "input", F.col("output_preview").alias("outputPreview"), F.col("is_error").alias("isError"), "timestamp")

@@ -145,3 +145,24 @@ def responses(rows: DataFrame) -> DataFrame:
     said = F.coalesce(text_of("$.message"), text_of("$.text"))
     t = rows.filter((F.col("type") == "event_msg") & (F.col("pt") == "agent_message") & F.col("turn_idx").isNotNull()).withColumn("said", said).filter("said is not null").groupBy("file_path", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("line_no", "said"))).alias("t"))
     return t.select("file_path", "turn_idx", tx.trimmed(F.array_join("t.said", "\n")).alias("response")).filter("response != ''")
+
+
+def steps_table(rows: DataFrame) -> DataFrame:
+    """The normalized steps of :func:`in_turns` rows, in the columns of the ``steps`` table."""
+    t = turns(rows)
+    use = rows.filter((F.col("type") == "event_msg") & (F.col("pt") == "token_count") & F.col("turn_idx").isNotNull()).groupBy(F.col("file_path").alias("_f"), F.col("turn_idx").alias("_t")).agg(F.count("*").alias("api_calls"))
+    first = rows.filter("turn_idx is not null").groupBy(F.col("file_path").alias("_g"), F.col("turn_idx").alias("_u")).agg(F.min_by("timestamp", "line_no").alias("ts"))
+    met = t.join(use, (F.col("file_path") == F.col("_f")) & (F.col("turn_idx") == F.col("_t")), "left").join(first, (F.col("file_path") == F.col("_g")) & (F.col("turn_idx") == F.col("_u")))
+    return met.select(
+        F.col("file_path").alias("session_id"), F.concat_ws("#", "file_path", "turn_id").alias("id"), F.col("turn_idx").alias("step_idx"), "kind", F.col("command_name").alias("commandName"), F.col("ts").alias("timestamp"), F.col("duration_ms").alias("durationMs"),
+        F.col("prompt_text").alias("promptText"), tx.preview(F.col("prompt_text"), 120).alias("promptPreview"), F.when(F.col("aborted"), True).alias("aborted"), F.coalesce("api_calls", F.lit(0)).alias("apiCalls"),
+    )
+
+
+def calls_table(rows: DataFrame) -> DataFrame:
+    """The normalized tool calls of :func:`in_turns` rows, in the columns of the ``tool_calls`` table."""
+    c = tool_calls(rows)
+    more = rows.filter("called").select(F.col("file_path").alias("_f"), F.col("line_no").alias("_l"), "timestamp", F.coalesce(text_of("$.arguments"), F.to_json(F.try_variant_get("p", "$.arguments", "variant")), text_of("$.input"), F.to_json(F.try_variant_get("p", "$.input", "variant"))).alias("input"))
+    ids = turns(rows).select(F.col("file_path").alias("_g"), F.col("turn_idx").alias("_u"), F.concat_ws("#", "file_path", "turn_id").alias("step_id"))
+    met = c.join(more, (F.col("file_path") == F.col("_f")) & (F.col("line_no") == F.col("_l"))).join(ids, (F.col("file_path") == F.col("_g")) & (F.col("turn_idx") == F.col("_u")), "left")
+    return met.select(F.col("file_path").alias("session_id"), "step_id", F.col("line_no").alias("call_pos"), F.col("call_id").alias("id"), "name", F.col("is_mcp").alias("isMcp"), F.col("mcp_server").alias("mcpServer"), "input", F.col("output_preview").alias("outputPreview"), F.lit(None).cast("boolean").alias("isError"), "timestamp")

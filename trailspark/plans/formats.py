@@ -111,7 +111,9 @@ _U16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]
 @query(f"""WITH {LINES_A}, v AS (SELECT *, coalesce(array_to_string(regexp_extract_all(text, '<system-reminder>[\\s\\S]*?</system-reminder>'), ''), '') AS rem,
  coalesce(nullif(regexp_extract(text, '<command-args>\\s*([\\s\\S]*?)\\s*</command-args>', 1), ''), regexp_extract(text, '<command-name>\\s*([^<\\n]+?)\\s*</command-name>', 1)) AS cmd FROM la)
 SELECT file_path, CAST(sum(CASE WHEN row_class = 'prompt' THEN {_U16.format('text')} - {_U16.format('rem')} WHEN row_class = 'command' THEN {_U16.format('cmd')} ELSE 0 END) AS BIGINT) AS human_chars,
- CAST(sum(CASE WHEN row_class = 'prompt' THEN {_U16.format('rem')} WHEN type = 'user' AND isMeta THEN {_U16.format('text')} ELSE 0 END) AS BIGINT) AS harness_chars FROM v GROUP BY 1""")
+ CAST(sum(CASE WHEN type = 'attachment' THEN coalesce({_U16.format('attachment')}, 0) WHEN row_class = 'prompt' THEN {_U16.format('rem')} WHEN type = 'user' AND isMeta THEN {_U16.format('text')} ELSE 0 END) AS BIGINT) AS harness_chars,
+ CAST(coalesce(sum(list_sum(list_transform(list_filter(CASE WHEN type = 'user' AND json_valid(message.content) AND json_type(message.content) = 'ARRAY' THEN CAST(json(message.content) AS JSON[]) END, lambda b: (b ->> '$.type') = 'tool_result'),
+  lambda b: CASE WHEN json_type(b, '$.content') IS NULL THEN 2 WHEN json_type(b, '$.content') = 'VARCHAR' THEN {_U16.format("(b ->> '$.content')")} ELSE length(CAST(json(b -> '$.content') AS VARCHAR)) END))), 0) AS BIGINT) AS tool_chars FROM v GROUP BY 1""")
 def a_content_volume(spark, folder):
     return a.volume(lines_a(spark, folder))
 

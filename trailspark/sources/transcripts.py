@@ -129,3 +129,25 @@ def rate_limits(refs: DataFrame, lines: DataFrame, files: int = 5, last: int = 6
     v = lambda p, t: F.try_variant_get("value", f"$.payload.rate_limits.{p}", t)
     t = tail(lines.join(newest, "file_path"), last).select("updated_at", "line_no", v("primary.used_percent", "double").alias("used_percent"), v("primary.window_minutes", "bigint").alias("window_minutes"), v("plan_type", "string").alias("plan"))
     return t.filter("used_percent is not null").agg(F.max(F.struct("updated_at", "line_no", "used_percent", "window_minutes", "plan")).alias("m")).filter("m is not null").select("m.used_percent", "m.window_minutes", "m.plan")
+
+
+# The members of a format A line that the engine reads, with their types.
+FIELDS_A = [
+    ("type", "string"), ("uuid", "string"), ("parentUuid", "string"), ("sessionId", "string"), ("session_id", "string"), ("timestamp", "string"), ("cwd", "string"), ("gitBranch", "string"), ("version", "string"), ("requestId", "string"),
+    ("isSidechain", "boolean"), ("isMeta", "boolean"), ("isCompactSummary", "boolean"), ("compactMetadata", "struct<trigger:string,preTokens:bigint>"), ("aiTitle", "string"), ("operation", "string"),
+]
+USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
+
+
+def records_a(lines: DataFrame) -> DataFrame:
+    """Format A lines of :func:`read_jsonl` in the columns of the ``claude_records`` table."""
+    g = lambda p, t: F.try_variant_get("value", f"$.{p}", t)
+    message = F.when(g("message", "variant").isNotNull(), F.struct(g("message.id", "string").alias("id"), g("message.role", "string").alias("role"), g("message.model", "string").alias("model"), F.to_json(g("message.content", "variant")).alias("content"), g("message.usage", USAGE).alias("usage")))
+    result = g("toolUseResult", "struct<agentId:string,agentType:string,totalTokens:bigint,totalToolUseCount:bigint,totalDurationMs:bigint>")
+    return lines.select("file_path", F.col("line_no").cast("bigint").alias("line_no"), *[g(n, t).alias(n) for n, t in FIELDS_A], message.alias("message"), result.alias("toolUseResult"), F.to_json(g("attachment", "variant")).alias("attachment"), F.lit(None).cast("timestamp_ntz").alias("ingested_at"))
+
+
+def lines_b(lines: DataFrame) -> DataFrame:
+    """Format B lines of :func:`read_jsonl` in the columns of the ``codex_lines`` table."""
+    g = lambda p, t: F.try_variant_get("value", f"$.{p}", t)
+    return lines.select(F.xxhash64("file_path", "line_no").alias("line_id"), "file_path", F.col("line_no").cast("bigint").alias("line_no"), g("timestamp", "string").alias("timestamp"), g("type", "string").alias("type"), F.to_json(g("payload", "variant")).alias("payload"))
