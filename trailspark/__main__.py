@@ -15,7 +15,7 @@ from .operators import cluster, format_a, format_b, rollups, signals
 from .session import build_session
 from .sources import transcripts
 
-SCOPES = {"prompter": 25, "distill": 50, "intents": 50, "models": 100, "project": 200, "analyze": 10**9, "compare": 10**9}
+SCOPES = {"prompter": 25, "distill": 50, "intents": 50, "models": 100, "project": 200, "analyze": None, "compare": None}
 
 
 def refs(spark: SparkSession, a: str | None, b: str | None, index: str | None = None) -> DataFrame:
