@@ -75,9 +75,13 @@ def row_class(type_: Column, text: Column, has_result: Column, *off: Column) ->
     )
 
 
-def classified(records: DataFrame) -> DataFrame:
-    """Adds json_ok, text, has_result and row_class to format A rows."""
-    df = with_content(records, F.col("message.content"))
+def classified(records: DataFrame, content: Column | None = None) -> DataFrame:
+    """Adds json_ok, text, has_result and row_class to format A rows.
+
+    ``content`` may leave out the content of rows whose class the caller
+    doesn't need; a null content is as an unreadable one.
+    """
+    df = with_content(records, F.col("message.content") if content is None else content)
     return df.withColumn("row_class", row_class(F.col("type"), F.col("text"), F.col("has_result"), F.col("isMeta"), F.col("isCompactSummary"), F.col("isSidechain")))
 
 
