@@ -39,7 +39,8 @@ def p1_support(spark: SparkSession, folder: str) -> DataFrame:
 
 def prompt_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``uuid, entity, t``: the latest version of each record that is a prompt row with session and readable time."""
-    rows = rec.classified(table(spark, folder, "claude_records")).select(
+    # Only user rows can be prompts, so only their content is parsed.
+    rows = rec.classified(table(spark, folder, "claude_records"), F.when(F.col("type") == "user", F.col("message.content"))).select(
         F.lower("uuid").alias("uuid"), "line_no", rec.session_of().alias("entity"), micros(F.col("timestamp")).alias("t"), F.col("row_class").isin("prompt", "command").alias("is_prompt"),
     )
     return rec.latest(rows).filter("is_prompt and entity is not null and t is not null").select("uuid", "entity", "t")
