@@ -40,6 +40,9 @@ SHARE = 0.25
 SENTENCE = re.compile(r"(?<=[.?!])[\"'”)\]]*\s+|\n+")
 CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 WORD = re.compile(r"[^\W\d_]+")
+NUMBER = re.compile(r"\d+")
+#: Sentences whose area a task remembers.
+MEMO = 200_000
 # What a name in code adds to the word it is made of.
 CODE_ENDS = {"form", "list", "row", "id"}
 
@@ -141,12 +144,31 @@ class Model:
         return np.where(ok, best, -1)
 
     def areas_of(self, text: str | None, share: float = SHARE) -> list[str]:
-        feats = [f for f in map(features, sentences(text)) if f]
-        if not feats or not self.areas:
-            return []
-        a = self.sentence_areas(Rows(feats))
-        n = np.bincount(a[a >= 0], minlength=len(self.areas))
-        return [self.areas[j] for j in range(len(self.areas)) if n[j] and n[j] >= share * n.sum() - 1e-9]
+        return self.areas_of_all([text], {}, share)[0]
+
+    def areas_of_all(self, texts: list, known: dict[str, int], share: float = SHARE) -> list[list[str]]:
+        """The areas of each text. ``known`` holds the areas of sentences judged before, numbers left open."""
+        if not self.areas:
+            return [[] for _ in texts]
+        cut = [[NUMBER.sub("0", x) for x in sentences(t)] for t in texts]
+        if len(known) > MEMO:
+            known.clear()
+        new = list(dict.fromkeys(x for c in cut for x in c if x not in known))
+        feats = [features(x) for x in new]
+        kept = [f for f in feats if f]
+        judged = iter(self.sentence_areas(Rows(kept)).tolist()) if kept else iter(())
+        for x, f in zip(new, feats):
+            known[x] = next(judged) if f else -1
+        out = []
+        for c in cut:
+            n: dict[int, int] = {}
+            for x in c:
+                a = known[x]
+                if a >= 0:
+                    n[a] = n.get(a, 0) + 1
+            total = sum(n.values())
+            out.append([self.areas[a] for a in sorted(n) if n[a] >= share * total - 1e-9])
+        return out
 
 
 def _common(feats: list[list[int]], doc_of: list[int]) -> list[list[int]]:
@@ -169,12 +191,17 @@ def train(docs: list[tuple[str, dict[str, float]]], areas: list[str], described:
     k = len(areas)
     at = {a: j for j, a in enumerate(areas)}
     feats, doc_of, y = [], [], []
+    memo: dict[str, list[int]] = {}
     for d, (text, labels) in enumerate(docs):
         target = np.zeros(k)
         for a, v in labels.items():
             if a in at:
                 target[at[a]] = v
-        for f in map(features, sentences(text)):
+        for x in sentences(text):
+            x = NUMBER.sub("0", x)
+            f = memo.get(x)
+            if f is None:
+                f = memo[x] = features(x)
             if f:
                 feats.append(f)
                 doc_of.append(d)
@@ -255,9 +282,9 @@ def assign(docs: DataFrame, key: str, text: str, model: Model, share: float = SH
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        m = sent.value
+        m, known = sent.value, {}
         for pdf in batches:
-            got = [(k, a) for k, t in zip(pdf["key"], pdf["text"]) for a in m.areas_of(t, share)]
+            got = [(k, a) for k, areas in zip(pdf["key"], m.areas_of_all(list(pdf["text"]), known, share)) for a in areas]
             if got:
                 yield pd.DataFrame(got, columns=["key", "subject"])
 
