@@ -25,15 +25,17 @@ from pyspark.sql import functions as F
 from .leaks import ESCAPED, _escape, plain
 
 #: Buckets of the feature hash.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
 #: Most labelled documents the classifiers are fitted on, chosen by a hash of their id.
 LABELLED_DOCS = 5_000
 #: A feature counts if it stands in so many of the documents fitted on.
 LEAST_DOCS = 3
 #: Strength of the weights' shrinkage, in sentences.
-SHRINK = 0.08
+SHRINK = 0.05
 #: Least score at which a sentence is taken for one on an area.
 SURE = 0.5
+#: Least score at which a later round takes a sentence's area for its label.
+RELABEL = 0.6
 #: A document has an area if this share of its sentences on any area is about it.
 SHARE = 0.25
 
@@ -47,13 +49,17 @@ MEMO = 200_000
 CODE_ENDS = {"form", "list", "row", "id"}
 
 
+# A line of code: it starts with a keyword or comment sign and holds code punctuation.
+CODE_LINE = re.compile(r"^\s*(?:(?:\[\w+\]|[A-Z]{4,5}|ok|warn|line|[+-])\s+)*(?://|/\*|(?:const|let|var|def|class|return|import|from|function|raise|export|elif|else|if|for|while)\b.*(?:[;:(){}=]|\w\.\w))")
+
+
 def sentences(text: str | None) -> list[str]:
-    """The sentences and lines of a text (JSON escapes undone), blank ones left out."""
+    """The sentences and lines of a text (JSON escapes undone); blank lines and lines of code are left out."""
     if not text:
         return []
     if "\\" in text:
         text = ESCAPED.sub(_escape, text)
-    return [s for s in SENTENCE.split(text) if s and WORD.search(s)]
+    return [s for s in SENTENCE.split(text) if s and WORD.search(s) and not CODE_LINE.match(s)]
 
 
 def stem(w: str) -> str:
@@ -237,7 +243,7 @@ def train(docs: list[tuple[str, dict[str, float]]], areas: list[str], described:
         allowed = np.maximum(n >= 2, lab)[doc_ids]
         q = p * np.maximum(allowed, 0.25)
         best = q.argmax(axis=1)
-        yes = q[np.arange(len(q)), best] > SURE
+        yes = q[np.arange(len(q)), best] > RELABEL
         target = np.zeros_like(weak)
         target[np.arange(len(q))[yes], best[yes]] = 1.0
         target[~inside] = weak[~inside]
