@@ -86,11 +86,10 @@ def switches(weekly: DataFrame, period: str, value: str) -> DataFrame:
 def before_after(changes: DataFrame, samples: DataFrame, k: int) -> DataFrame:
     """The ``k`` samples before and from each change: ``change_id, side, sessions, prompts, corrections``.
 
-    ``changes``: change_id, t (a small table, checked to be under 10 000
-    rows; more are refused); ``samples``: sample_id, t, prompts, corrections.
-    Every sample meets the changes by way of ranks: samples are numbered by
-    time once, and a change takes the ranks next to its place; no pair of
-    all changes and all samples is made.
+    ``changes``: change_id, t; ``samples``: sample_id, t, prompts,
+    corrections; rows without a time are left out. Samples are numbered by
+    time once, and a change takes the ranks next to its place, so no pair of
+    all changes and all samples is made. With ``k`` of 0 both sides are empty.
     """
     from .ordered import running_counts
 
@@ -98,7 +97,7 @@ def before_after(changes: DataFrame, samples: DataFrame, k: int) -> DataFrame:
     marks = changes.filter("t is not null").select("t", F.lit(0).alias("is_sample"), F.col("change_id").cast("string").alias("sid"), F.lit(None).cast("bigint").alias("prompts"), F.lit(None).cast("bigint").alias("corrections"), F.lit("all").alias("g"))
     # At equal times a change stands before the samples, which so count as after it.
     n = running_counts(flat.unionByName(marks), "g", ["t", "is_sample", "sid"], {"place": F.col("is_sample") == 1})
-    around = n.filter("is_sample = 0").select(F.col("sid").alias("change_id"), F.explode(F.sequence(F.col("place") - (k - 1), F.col("place") + k)).alias("at"), F.col("place").alias("p")).withColumn("side", F.when(F.col("at") <= F.col("p"), "before").otherwise("after"))
+    around = n.filter("is_sample = 0").select(F.col("sid").alias("change_id"), F.explode(F.sequence(F.col("place") - (k - 1), F.col("place") + k) if k > 0 else F.array().cast("array<bigint>")).alias("at"), F.col("place").alias("p")).withColumn("side", F.when(F.col("at") <= F.col("p"), "before").otherwise("after"))
     met = around.join(n.filter("is_sample = 1").select(F.col("place").alias("at"), "prompts", "corrections"), "at")
     return met.groupBy("change_id", "side").agg(F.count("*").alias("sessions"), F.sum("prompts").alias("prompts"), F.sum("corrections").alias("corrections"))
 
