@@ -104,3 +104,22 @@ SQL["p5_found"] = SQL["p5_found"].replace("WITH rec", "WITH RECURSIVE rec", 1)
 SQL["p5_usage"] = """SELECT 'claude' AS src, lower(uuid) AS row_id, 'usage' AS path, '' AS parent_path, message.usage.input_tokens AS input_tokens, message.usage.output_tokens AS output_tokens,
  message.usage.cache_creation_input_tokens AS cache_creation_input_tokens, message.usage.cache_read_input_tokens AS cache_read_input_tokens
 FROM (SELECT * FROM claude_records WHERE uuid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(uuid) ORDER BY line_no DESC) = 1) WHERE message.usage IS NOT NULL"""
+_BARE = "lower(regexp_replace(regexp_replace(path, '^.*\\.', ''), '[_-]', '', 'g'))"
+SQL["p7_found"] = f"""WITH RECURSIVE ok AS (SELECT DISTINCT file_id, machine, exported_at, json(raw) AS o FROM raw_lines WHERE CASE WHEN json_valid(raw) THEN json_type(raw) END = 'OBJECT'),
+w AS (SELECT file_id, k AS path, json_extract(o, '$."' || k || '"') AS v FROM (SELECT file_id, o, unnest(json_keys(o)) AS k FROM ok)
+ UNION SELECT file_id, path || '.' || k, json_extract(v, '$."' || k || '"') FROM (SELECT file_id, path, v, unnest(json_keys(v)) AS k FROM w WHERE json_type(v) = 'OBJECT')),
+f AS (SELECT file_id, path, string_agg(DISTINCT k, ',' ORDER BY k) AS kinds, string_agg(DISTINCT CAST(v AS VARCHAR), chr(10) ORDER BY CAST(v AS VARCHAR)) AS vals FROM
+ (SELECT file_id, path, v, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS k FROM w WHERE json_type(v) <> 'NULL') GROUP BY 1, 2),
+p AS (SELECT file_id, before FROM (SELECT file_id, lag(file_id) OVER (PARTITION BY machine ORDER BY exported_at, file_id) AS before FROM (SELECT DISTINCT file_id, machine, exported_at FROM ok)) WHERE before IS NOT NULL),
+n AS (SELECT p.file_id, f.path, f.kinds, f.vals FROM p JOIN f USING (file_id)), o AS (SELECT p.file_id, f.path, f.kinds, f.vals FROM p JOIN f ON f.file_id = p.before),
+s AS (SELECT *, regexp_replace(CASE WHEN contains(path, '.') THEN path ELSE '.' END, '\\.[^.]*$', '') AS up, {_BARE} AS bare FROM (SELECT *, true AS is_new FROM n ANTI JOIN o USING (file_id, path) UNION ALL SELECT *, false FROM o ANTI JOIN n USING (file_id, path))),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY file_id, is_new, up, kinds, bare ORDER BY path) AS k FROM s),
+m1 AS (SELECT a.file_id, a.path AS old_field, b.path AS new_field FROM r1 a JOIN r1 b ON NOT a.is_new AND b.is_new AND a.file_id = b.file_id AND a.up = b.up AND a.kinds = b.kinds AND a.bare = b.bare AND a.k = b.k),
+s2 AS (SELECT s.* FROM s LEFT JOIN m1 ON m1.file_id = s.file_id AND s.path = CASE WHEN s.is_new THEN m1.new_field ELSE m1.old_field END WHERE m1.file_id IS NULL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY file_id, is_new, up, kinds, vals ORDER BY path) AS k FROM s2 WHERE kinds = 'string'),
+m2 AS (SELECT a.file_id, a.path AS old_field, b.path AS new_field FROM r2 a JOIN r2 b ON NOT a.is_new AND b.is_new AND a.file_id = b.file_id AND a.up = b.up AND a.vals = b.vals AND a.k = b.k),
+m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2)
+SELECT n.file_id, 'retyped' AS change, n.path AS old_field, n.path AS new_field FROM n JOIN o USING (file_id, path) WHERE n.kinds <> o.kinds
+UNION ALL SELECT file_id, 'renamed', old_field, new_field FROM m
+UNION ALL SELECT s.file_id, 'removed', path, '' FROM s LEFT JOIN m ON m.file_id = s.file_id AND m.old_field = s.path WHERE NOT is_new AND m.file_id IS NULL
+UNION ALL SELECT s.file_id, 'added', '', path FROM s LEFT JOIN m ON m.file_id = s.file_id AND m.new_field = s.path WHERE is_new AND m.file_id IS NULL"""

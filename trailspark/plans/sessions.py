@@ -96,12 +96,12 @@ def chars_calls_correlation(spark, folder):
 
 
 @query(f"WITH {_FEAT}, o AS (SELECT chars, row_number() OVER (ORDER BY chars) - 1 AS k, count(*) OVER () AS n FROM fx) SELECT n, chars AS p90 FROM o WHERE k = floor(n * 0.9)")
-def p90_prompt_chars(spark, folder):
+def prompt_chars_ninetieth(spark, folder):
     return sg.ninetieth(signals(spark, folder), "chars")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, max(CASE WHEN k = floor(n * 0.9) THEN q END) AS p90 FROM (SELECT l_extendedprice AS q, row_number() OVER (ORDER BY l_extendedprice) - 1 AS k, count(*) OVER () AS n FROM lineitem)")
-def p90_price(spark, folder):
+def price_ninetieth(spark, folder):
     return sg.ninetieth(table(spark, folder, "lineitem"), "l_extendedprice")
 
 
