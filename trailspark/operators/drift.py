@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .nested import _clean, parse
 
 JSON_KIND = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
@@ -215,6 +216,8 @@ def changes(files: DataFrame, fields: DataFrame) -> DataFrame:
         .unionByName(old.select("file_id", "path", F.lit(None).cast(cur.schema["new"].dataType).alias("new"), "old"))
         .groupBy("file_id", "path").agg(F.max("new").alias("new"), F.max("old").alias("old"))
     )
+    # Read by every rule below, so written once.
+    both = materialize(both)
     retyped = both.filter(F.col("new.kinds") != F.col("old.kinds")).select("file_id", F.lit("retyped").alias("change"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
     single = both.filter("new is null or old is null").select(
         "file_id", "path", F.col("new").isNotNull().alias("is_new"), F.coalesce("new", "old").alias("f"), above(F.col("path")).alias("parent"), bare(F.col("path")).alias("bare"),
@@ -230,7 +233,7 @@ def _paired(single: DataFrame) -> DataFrame:
         w = Window.partitionBy("file_id", "is_new", *keys).orderBy("path")
         return df.withColumn("rank", F.row_number().over(w)).groupBy("file_id", *keys, "rank").agg(F.max(F.when(F.col("is_new"), F.struct("path", "parent", "kinds", "vals", "bare"))).alias("n"), F.max(F.when(~F.col("is_new"), F.struct("path", "parent", "kinds", "vals", "bare"))).alias("o"))
 
-    first = match(rows, ["parent", "kinds", "bare"]).select("file_id", "n", "o")
+    first = materialize(match(rows, ["parent", "kinds", "bare"]).select("file_id", "n", "o"))
     by_name = first.filter("n is not null and o is not null").select("file_id", F.col("o.path").alias("old_field"), F.col("n.path").alias("new_field"))
     rest = first.filter("n is null or o is null").select("file_id", F.coalesce("n", "o").alias("x"), F.col("n").isNotNull().alias("is_new")).select("file_id", "is_new", "x.*")
     second = match(rest.filter("vals is not null"), ["parent", "kinds", "vals"]).select("file_id", "n", "o")
@@ -249,8 +252,6 @@ def drift(lines: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
     read. Lines whose raw text is null, empty or no JSON object count for
     nothing; a null ``machine`` or ``file_id`` is left out.
     """
-    from ..session import materialize
-
     table = ingest(lines.filter("file_id is not null and machine is not null"), "raw", ["file_id", "machine", "exported_at"], target)
     fields = materialize(fields_of_files(table, target))
     heads = lines.filter("file_id is not null and machine is not null").groupBy("file_id").agg(F.min("machine").alias("machine"), F.min("exported_at").alias("exported_at"))
