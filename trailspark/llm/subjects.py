@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .leaks import ESCAPED, _escape, plain
@@ -28,6 +28,8 @@ from .leaks import ESCAPED, _escape, plain
 BUCKETS = 1 << 18
 #: Most labelled documents the classifiers are fitted on, chosen by a hash of their id.
 LABELLED_DOCS = 5_000
+#: Most characters of their texts together: documents beyond are left out whole, in order of that hash.
+LABELLED_CHARS = 30_000_000
 #: A feature counts if it stands in so many of the documents fitted on.
 LEAST_DOCS = 3
 #: Strength of the weights' shrinkage, in sentences.
@@ -267,7 +269,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_DO
     lab = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject"), F.coalesce("annotator", F.lit("")).alias("annotator")).filter("doc_id is not null and subject is not null").distinct()
     per = lab.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "annotator")).alias("labels"))
     picked = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.select("doc_id", "text").filter("text is not null and text != ''").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    met = docs.select("doc_id", "text").filter("text is not null and text != ''").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most ``bound`` rows
+    rows = met.withColumn("_upto", upto).filter(F.col("_upto") <= LABELLED_CHARS).orderBy("doc_id").collect()
     out = []
     for r in rows:
         who = {x.annotator for x in r.labels}
