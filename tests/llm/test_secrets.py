@@ -48,6 +48,35 @@ def test_key_paths_of_json():
     assert [doc[a:b] for a, b, _ in s.find(doc)] == ["Hunter_22x"]
 
 
+BRACKETS = [
+    ("[default]\naws_secret_access_key = ab12CD34ef56GH78", ["ab12CD34ef56GH78"]),
+    ('[db]\nsize = 5"\npassword = "Tulip#field5198"\n', ["Tulip#field5198"]),
+    ("[INFO] login ok, PASSWORD=river!moon7110 used", ["river!moon7110"]),
+    ("{'user': 'bob', 'password': 'Maple.stone599'}", ["Maple.stone599"]),
+    ("{ const dbPassword = 'Saddle#stone4168'; }", ["Saddle#stone4168"]),
+    ('{"a": "x"}\nAPI_KEY=Tulip#field5198', ["Tulip#field5198"]),
+    ('{"password": "Hunter_22x"}\n{"token": "Granite_33y"} then PASSWORD=violet-gate6571', ["Hunter_22x", "Granite_33y", "violet-gate6571"]),
+    ('["X_TOKEN"] = \'abc123def\'', ["abc123def"]),
+    ('[WARN] payload "{\\"password\\":\\"Hunter_22x\\"}"', ["Hunter_22x"]),
+    ('[WARN] "the password is required\\nand secret" twice', []),
+    ('{"n": 1, "token": "Ab12cD…', ["Ab12cD"]),
+    ('{"n": 1, "token": "please enter…', []),
+    ('{"a": "PASSWORD=ab12cd34\\nX=1", "b": tr…', ["ab12cd34"]),
+]
+
+
+@pytest.mark.parametrize("text, want", BRACKETS)
+def test_brackets_that_are_no_json(text, want):
+    assert [text[a:b] for a, b, _ in s.find(text)] == want
+
+
+def test_end_of_json():
+    whole = ['{"a": [1, -2.5e3, true, null, {}], "b": "\\""}', "[]", "[" * 100_000 + "]" * 100_000]
+    assert all(s.json_end(t) == len(t) for t in whole)
+    assert all(s.json_end(whole[0][:n] + c) == n + len(c) for n in range(1, len(whole[0])) for c in ("", "…"))
+    assert [s.json_end(t) for t in ("[INFO] x", "[default]", "{'a': 1}", '{"a" = 1}', "{} x", "[1 2", '{"a": 1,}', "[x…")] == [0, 0, 0, 0, 2, 0, 0, 0]
+
+
 def test_places_are_bytes_and_rows_may_be_odd(spark):
     long = "x " * 100_000 + "API_KEY=Tulip#field5198"
     rows = [("1", "é API_KEY=Tulip#field5198", None), ("1", "é API_KEY=Tulip#field5198", None), (None, None, "PASSWORD=ab12cd"), ("3", long, ""), ("4", None, None)]

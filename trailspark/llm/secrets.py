@@ -2,7 +2,8 @@
 
 JSON text is read into key paths with offsets; the strings in it, and any
 other text, are read line by line as configuration (env, YAML, properties,
-code assignments, command options, headers, URLs, netrc, PEM). A value is
+code assignments, command options, headers, URLs, netrc, PEM). Text that only
+begins like JSON is read both ways. A value is
 taken when the name of its key is sensitive and its shape is that of a
 literal, or when its shape alone is that of a known token. Offsets point
 into the original text, so a redaction is spliced in without touching
@@ -11,6 +12,7 @@ anything else.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -213,15 +215,50 @@ def json_strings(text: str) -> Iterator[tuple[str, int, int]]:
         yield pending
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """``(start, end, key)`` of the credentials in a field, as character offsets into it.
+_BLANKS = re.compile(r"\s*")
+_DECODER = json.JSONDecoder(strict=False)
+_PIECE = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\]:,]|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)', re.S)
+#: What a cut may leave of a string, number or word, up to the end of the text.
+_CUT_PIECE = re.compile(r'\s*(?:"(?:[^"\\]|\\.)*\\?|[-+\d.eE]*(?:…\s*)?|(?:t|tr|tru|true|f|fa|fal|fals|false|n|nu|nul|null)(?:…\s*)?|…\s*)\Z', re.S)
+
+
+def json_end(text: str, start: int = 0) -> int:
+    """Where the JSON object or array at ``start`` ends: the end of the text if it was cut off, ``start`` if it is none."""
+    try:
+        return _DECODER.raw_decode(text, start)[1]
+    except (ValueError, RecursionError):  # cut, nested deeply, or no JSON
+        pass
+    stack: list[str] = []
+    want, at = "value", start  # or "first" (of an array), "key", "key1", "colon", "next"
+    while m := _PIECE.match(text, at):
+        t, at = m[1], m.end()
+        if want in ("value", "first") and t not in ("}", "]", ":", ","):
+            if t in ("{", "["):
+                stack.append(t)
+                want = "key1" if t == "{" else "first"
+            else:
+                want = "next"
+        elif want in ("key", "key1") and t[0] == '"':
+            want = "colon"
+        elif want == "colon" and t == ":":
+            want = "value"
+        elif want == "next" and t == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        elif (t == "}" and want in ("next", "key1") and stack[-1] == "{") or (t == "]" and want in ("next", "first") and stack[-1] == "["):
+            stack.pop()
+            want = "next"
+            if not stack:
+                return at
+        else:
+            return start
+    rest = _CUT_PIECE.match(text, at)
+    # What is left must be part of what may stand here: words and numbers are values only.
+    fits = rest and (want in ("value", "first") or rest.group().strip(" \t\r\n…") == "" or (want in ("key", "key1") and rest.group().lstrip()[0] == '"'))
+    return len(text) if fits else start
 
-    Null, empty and blank texts have none. Text of any length is read whole.
-    """
-    if not text or not HINT.search(text):
-        return []
-    if text.lstrip()[:1] not in ("{", "["):
-        return spans(text)
+
+def string_spans(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, key)`` of the credentials in the double-quoted strings of a text, and of those under a sensitive JSON key."""
     found = []
     for path, a, b in json_strings(text):
         raw = text[a:b]
@@ -234,13 +271,44 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         else:
             plain, at = raw, None
         got = spans(plain) if own else []
-        if not got and sensitive(name) and literal(plain, True, False):
-            got = [(0, len(plain), path)]
+        if not got and sensitive(name):
+            # Only a string that the text ends in is without its closing quote.
+            body = plain.rstrip()
+            cut = b == len(text) and body.endswith(CUT)
+            body = body[:-1] if cut else plain
+            if literal(body, True, cut) and not (cut and re.search(r"\s", body)):
+                got = [(0, len(body), path)]
         for s, e, key in got:
             found.append((a + (at[s] if at else s), a + (at[e] if at else e), key))
     return found
 
 
+def find(text: str | None) -> list[tuple[int, int, str]]:
+    """``(start, end, key)`` of the credentials in a field, as character offsets into it.
+
+    Null, empty and blank texts have none. Text of any length is read whole.
+    JSON, cut or not, and lines of it are read by their strings, since
+    nothing else in them can be a credential. Other text that begins with a
+    bracket (INI, logs, code, reprs, what follows on JSON) is read as a
+    whole; a string with escapes in it is judged by what it stands for.
+    """
+    if not text or not HINT.search(text):
+        return []
+    if text.lstrip()[:1] not in ("{", "["):
+        return spans(text)
+    found = string_spans(text)
+    end, at = 0, _BLANKS.match(text).end()
+    while text[at : at + 1] in ("{", "[") and (e := json_end(text, at)) > at:
+        end, at = e, _BLANKS.match(text, e).end()
+    if at >= len(text):
+        return found
+    escaped = [(a, b) for _, a, b in json_strings(text) if "\\" in text[a:b]]
+    for a, b, key in spans(text):
+        if a >= end and not any(a < y and x < b for x, y, _ in found) and not any(x < a and b <= y for x, y in escaped):
+            found.append((a, b, key))
+    return sorted(found)
+
+
 def redact(text: str | None) -> str | None:
     """The text with each credential replaced by ``REDACTED``; all else stays byte for byte."""
     got = find(text)
