@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.times import micros, week_key
+from . import records as rec
 from .ordered import with_neighbours
 
 
@@ -75,6 +76,19 @@ def ninetieth(rows: DataFrame, value: str) -> DataFrame:
     return run.filter(F.col("upto") > F.floor(F.col("n") * 0.9)).agg(F.max("n").alias("n"), F.min("v").alias("p90"))
 
 
+def subagents_per_session(records: DataFrame, steps: DataFrame) -> DataFrame:
+    """One row ``subagents_per_session``: subagent results over the sessions that either table knows; 0 without sessions.
+
+    Re-ingested lines count once. Sessions without a prompt count too.
+    """
+    when = F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz"))
+    ran = F.coalesce((F.col("type") == "user") & F.col("toolUseResult.agentId").isNotNull(), F.lit(False))
+    lines = records.filter("file_path is not null and line_no is not null").select("file_path", "line_no", F.struct(when.alias("at"), rec.session_of().alias("session_id"), ran.alias("ran")).alias("r"))
+    per = lines.groupBy("file_path", "line_no").agg(F.max("r").alias("r")).groupBy(F.col("r.session_id").alias("session_id")).agg(F.count_if("r.ran").alias("n"))
+    each = per.unionByName(steps.select("session_id", F.lit(0).cast("bigint").alias("n"))).groupBy("session_id").agg(F.sum("n").alias("n"))
+    return each.agg(rate(F.coalesce(F.sum("n"), F.lit(0)), F.count("session_id")).alias("subagents_per_session"))
+
+
 def archetype(t: DataFrame) -> DataFrame:
     """The style of prompting that the overall totals speak of: ordered rules, the first that holds."""
     r = F.col("steps_per_session")

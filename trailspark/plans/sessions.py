@@ -117,11 +117,12 @@ def prompt_lints(spark, folder):
 SELECT CASE WHEN steps = 0 THEN 'unknown' WHEN steer > 0.25 THEN 'micromanager' WHEN avg_prompt_chars > 700 AND sps < 4 THEN 'cannonballer' WHEN cmd > 0.25 THEN 'delegator' WHEN sps >= 8 AND avg_prompt_chars < 300 THEN 'gardener' ELSE 'balanced' END AS archetype, steps, sessions, avg_prompt_chars FROM g""")
 def archetype(spark, folder):
     n = F.count("*")
+    agents = sg.subagents_per_session(table(spark, folder, "claude_records"), table(spark, folder, "steps"))
     t = signals(spark, folder).agg(
         n.alias("steps"), F.count_distinct("session_id").alias("sessions"), F.floor(F.sum("chars") / n + 0.5).cast("bigint").alias("avg_prompt_chars"), ((F.count_if("is_correction") + F.count_if(F.coalesce("aborted", F.lit(False)))) / n).alias("steer_rate"),
-        (F.count_if(F.col("kind") == "command") / n).alias("command_rate"), F.lit(0.0).alias("subagents_per_session"), (n / F.count_distinct("session_id")).alias("steps_per_session"),
+        (F.count_if(F.col("kind") == "command") / n).alias("command_rate"), (n / F.count_distinct("session_id")).alias("steps_per_session"),
     )
-    return sg.archetype(t)
+    return sg.archetype(t.crossJoin(agents))
 
 
 _TC = f"tc AS (SELECT *, {_T} AS us FROM (SELECT DISTINCT ON (id) * FROM tool_calls WHERE id IS NOT NULL ORDER BY id, call_pos DESC))"
