@@ -24,3 +24,17 @@ def test_archetype_counts_subagents(spark, tmp_path, agents, want):
     records = [line(i, "a", f"g{i}") for i in range(agents)] + [line(0, "a", "g0"), line(9, "b", None)]  # one line came twice
     got = run(spark, tmp_path, "archetype", steps=(STEPS, [step("a", 0), step("b", 0)]), claude_records=(RECORDS, records))
     assert [(r.archetype, r.steps, r.sessions) for r in got] == [(want, 2, 2)]
+
+
+@pytest.mark.parametrize("long, chars, want", [(2, 3001, ["mega-prompts"]), (1, 3001, ["all-clear"]), (2, 3000, ["all-clear"])])
+def test_lints_name_mega_prompts(spark, tmp_path, long, chars, want):
+    rows = [step("s", i, "see src/a.py " + "x" * (chars - 13) if i < long else "look at src/a.py") for i in range(11)]
+    assert [(r.rule, r.hits, r.of) for r in run(spark, tmp_path, "prompt_lints", steps=(STEPS, rows))] == [(want[0], *((long, 11) if want != ["all-clear"] else (0, 0)))]
+    p90 = entry.queries()["prompt_chars_ninetieth"](spark, str(tmp_path)).first().p90
+    assert (p90 > 3000) == (want == ["mega-prompts"])
+
+
+def test_lint_examples_are_the_first_of_tripped_rules(spark, tmp_path):
+    rows = [step("s", i, f"{i} fix it or something, idk", aborted=i == 0) for i in range(9)]
+    got = run(spark, tmp_path, "prompt_lint_examples", steps=(STEPS, rows))
+    assert sorted((r.rule, r.place, r.example[0]) for r in got) == [("vague-filler", k, str(k)) for k in range(3)]

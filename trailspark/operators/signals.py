@@ -97,13 +97,18 @@ def archetype(t: DataFrame) -> DataFrame:
     return t.select(name.alias("archetype"), "steps", "sessions", "avg_prompt_chars")
 
 
+def unanchored() -> Column:
+    """Whether a prompt is long and names no path and no code."""
+    return (F.col("chars") > 200) & ~F.col("has_path") & ~F.col("has_code")
+
+
 def lints(sig: DataFrame) -> DataFrame:
     """A row for each rule that the prompts trip, with the numbers it was judged by; ``all-clear`` if none."""
     c = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     hour = F.hour(F.timestamp_micros("us"))
     g = sig.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("vague"), F.lit(0)).alias("vague"), c((F.col("chars") > 200) & ~F.col("has_path") & ~F.col("has_code")).alias("unanchored"), c(F.col("is_correction")).alias("corrections"),
-        c(F.col("aborted")).alias("aborted"), c(F.col("gap_ms") < 15_000).alias("fast"), F.count("gap_ms").alias("gaps"), c(hour < 5).alias("night"),
+        F.count("*").alias("n"), F.coalesce(F.sum("vague"), F.lit(0)).alias("vague"), c(unanchored()).alias("unanchored"), c(F.col("is_correction")).alias("corrections"),
+        c(F.col("aborted")).alias("aborted"), c(F.col("gap_ms") < 15_000).alias("fast"), F.count("gap_ms").alias("gaps"), c(hour < 5).alias("night"), c(F.col("chars") > 3000).alias("mega"),
     )
     n = F.col("n")
     # The rules' least counts and shares.
@@ -114,8 +119,24 @@ def lints(sig: DataFrame) -> DataFrame:
         ("interrupt-heavy", F.col("aborted"), n, F.col("aborted") / n > 0.15),
         ("rapid-fire", F.col("fast"), F.col("gaps"), (F.col("gaps") >= 5) & (F.col("fast") / F.col("gaps") > 0.2)),
         ("night-owl", F.col("night"), n, (n >= 10) & (F.col("night") / n > 0.2)),
+        # The value of :func:`ninetieth` is above 3000 if this many are.
+        ("mega-prompts", F.col("mega"), n, F.col("mega") >= n - F.floor(n * 0.9)),
     ]
     rows = g.filter("n > 0").select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), a.alias("hits"), b.alias("of"), F.coalesce(cond, F.lit(False)).alias("tripped")) for r, a, b, cond in rules])).alias("x")).select("x.*")
     hit = rows.filter("tripped").select("rule", "hits", "of")
     none = rows.agg(F.count_if("tripped").alias("k")).filter("k = 0").select(F.lit("all-clear").alias("rule"), F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("of"))
     return hit.unionByName(none)
+
+
+def lint_examples(sig: DataFrame, most: int = 3) -> DataFrame:
+    """``rule, place, example``: the first prompts (by session, step_idx, id) that speak for each tripped rule that quotes any."""
+    # The rules that quote prompts, and which.
+    quoted = {"vague-filler": F.col("vague") > 0, "unanchored-epics": unanchored(), "correction-heavy": F.col("corrected_by_next"), "interrupt-heavy": F.coalesce("aborted", F.lit(False))}
+    order = ["session_id", "step_idx", "id"]
+    out = None
+    for rule, cond in quoted.items():
+        # At most a few rows, so the array is bounded.
+        top = sig.filter(cond).orderBy(*order).limit(most).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("promptPreview").alias("example")))).alias("t"))
+        rows = top.select(F.lit(rule).alias("rule"), F.posexplode("t").alias("place", "x")).select("rule", "place", "x.example")
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(lints(sig).select("rule"), "rule", "left_semi")

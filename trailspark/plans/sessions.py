@@ -113,6 +113,14 @@ def prompt_lints(spark, folder):
     return sg.lints(signals(spark, folder))
 
 
+@query(f"""WITH {_SIG}, g AS (SELECT count(*) AS n, sum(vague) AS vague, count(*) FILTER (chars > 200 AND NOT has_path AND NOT has_code) AS una, count(*) FILTER (is_correction) AS cor, count(*) FILTER (aborted) AS ab FROM sig),
+r AS (SELECT 'vague-filler' AS rule FROM g WHERE floor(vague / n * 100 + 0.5) / 10 > 1.5 UNION ALL SELECT 'unanchored-epics' FROM g WHERE n >= 5 AND una / n > 0.3 UNION ALL SELECT 'correction-heavy' FROM g WHERE cor / n > 0.15 UNION ALL SELECT 'interrupt-heavy' FROM g WHERE ab / n > 0.15),
+e AS (SELECT session_id, step_idx, id, promptPreview AS example, unnest(list_filter([CASE WHEN vague > 0 THEN 'vague-filler' END, CASE WHEN chars > 200 AND NOT has_path AND NOT has_code THEN 'unanchored-epics' END, CASE WHEN corrected_by_next THEN 'correction-heavy' END, CASE WHEN aborted THEN 'interrupt-heavy' END], lambda x: x IS NOT NULL)) AS rule FROM sig),
+k AS (SELECT rule, row_number() OVER (PARTITION BY rule ORDER BY session_id NULLS FIRST, step_idx, id) - 1 AS place, example FROM e JOIN r USING (rule)) SELECT * FROM k WHERE place < 3""")
+def prompt_lint_examples(spark, folder):
+    return sg.lint_examples(signals(spark, folder))
+
+
 @query(f"""WITH {_SIG}, g AS (SELECT count(*) AS steps, count(DISTINCT session_id) AS sessions, CAST(floor(sum(chars) / count(*) + 0.5) AS BIGINT) AS avg_prompt_chars, (count(*) FILTER (is_correction) + count(*) FILTER (aborted)) / count(*) AS steer, count(*) FILTER (kind = 'command') / count(*) AS cmd, count(*) / count(DISTINCT session_id) AS sps FROM sig)
 SELECT CASE WHEN steps = 0 THEN 'unknown' WHEN steer > 0.25 THEN 'micromanager' WHEN avg_prompt_chars > 700 AND sps < 4 THEN 'cannonballer' WHEN cmd > 0.25 THEN 'delegator' WHEN sps >= 8 AND avg_prompt_chars < 300 THEN 'gardener' ELSE 'balanced' END AS archetype, steps, sessions, avg_prompt_chars FROM g""")
 def archetype(spark, folder):
