@@ -1,5 +1,7 @@
 """Rules and reports over prompts, on tables made for one trait each."""
 
+import statistics
+
 import pytest
 
 import __spark_entry__ as entry
@@ -38,3 +40,15 @@ def test_lint_examples_are_the_first_of_tripped_rules(spark, tmp_path):
     rows = [step("s", i, f"{i} fix it or something, idk", aborted=i == 0) for i in range(9)]
     got = run(spark, tmp_path, "prompt_lint_examples", steps=(STEPS, rows))
     assert sorted((r.rule, r.place, r.example[0]) for r in got) == [("vague-filler", k, str(k)) for k in range(3)]
+
+
+def test_correlations(spark, tmp_path):
+    vague, wrong = "do it or something, idk, etc", "no, that is wrong, undo it"
+    rows = [step(s, i, t) for s in "abcd" for i, t in enumerate([vague if s in "ab" else "fix src/a.py and run `x()`", "see src/a.py"] + [wrong] * (s in "ab"))] + [step("e", 0, wrong)]
+    calls = "session_id string, step_id string, call_pos bigint, id string, timestamp string, name string"
+    made = [{"session_id": r["session_id"], "step_id": r["id"], "call_pos": k, "id": f"{r['id']}/{k}", "name": "Bash"} for r in rows for k in range(len(r["promptText"]) % 7)]
+    (got,) = run(spark, tmp_path, "specificity_corrections_correlation", steps=(STEPS, rows))
+    assert got.n == 4 and got.r == -1
+    (got,) = run(spark, tmp_path, "chars_tool_calls_correlation", steps=(STEPS, rows), tool_calls=(calls, made))
+    xs, ys = [len(r["promptText"]) for r in rows], [len(r["promptText"]) % 7 for r in rows]
+    assert got.n == len(rows) and abs(got.r - statistics.correlation(xs, ys)) < 1e-6

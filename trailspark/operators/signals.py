@@ -64,6 +64,11 @@ def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
     return g.select("n", F.when((F.col("n") >= 4) & (F.col("vx") > 0) & (F.col("vy") > 0), tx.half_up(F.col("c") / F.sqrt(F.col("vx") * F.col("vy")), 6)).alias("r"))
 
 
+def correction_rates(sig: DataFrame) -> DataFrame:
+    """Mean specificity and share of corrections of each session with two or more prompts, not rounded."""
+    return sig.groupBy("session_id").agg(F.avg("specificity").alias("specificity"), (F.count_if("is_correction") / F.count("*")).alias("correction_rate"), F.count("*").alias("n")).filter("n >= 2").drop("n")
+
+
 def ninetieth(rows: DataFrame, value: str) -> DataFrame:
     """One row ``n, p90``: the value of rank ``floor(n * 0.9)`` (from 0); null if there is none.
 

@@ -136,6 +136,21 @@ def archetype(spark, folder):
 _TC = f"tc AS (SELECT *, {_T} AS us FROM (SELECT DISTINCT ON (id) * FROM tool_calls WHERE id IS NOT NULL ORDER BY id, call_pos DESC))"
 
 
+_CORR = f"SELECT count(*) AS n, CASE WHEN count(*) >= 4 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN {_ROUND.format('covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y))', '1000000.0')} END AS r FROM c"
+
+
+@query(f"WITH {_FEAT}, c AS (SELECT avg(specificity) AS x, count(*) FILTER (is_correction) / count(*) AS y FROM fx GROUP BY session_id HAVING count(*) >= 2) {_CORR}")
+def specificity_corrections_correlation(spark, folder):
+    return sg.pearson(sg.correction_rates(signals(spark, folder)), "specificity", "correction_rate")
+
+
+@query(f"WITH {_FEAT}, {_TC}, k AS (SELECT step_id, count(*) AS k FROM tc GROUP BY 1), c AS (SELECT CAST(chars AS DOUBLE) AS x, CAST(coalesce(k, 0) AS DOUBLE) AS y FROM fx LEFT JOIN k ON k.step_id = fx.id) {_CORR}")
+def chars_tool_calls_correlation(spark, folder):
+    per = calls(spark, folder).groupBy("step_id").agg(F.count("*").alias("tool_calls"))
+    met = signals(spark, folder).select("id", "chars").join(per, F.col("id") == F.col("step_id"), "left")
+    return sg.pearson(met.fillna(0, ["tool_calls"]), "chars", "tool_calls")
+
+
 @query(f"WITH {_TC} SELECT name, count(*) AS calls, count(*) FILTER (isError) AS errors, bool_or(coalesce(isMcp, false)) AS is_mcp FROM tc GROUP BY 1")
 def tool_stats(spark, folder):
     return ro.tool_stats(calls(spark, folder))
