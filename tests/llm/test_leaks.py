@@ -48,6 +48,47 @@ def test_forms_edits_and_what_does_not_count(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(n, 7) for n in range(1, 13)]
 
 
+def test_words_of_any_length_and_tags_of_any_length():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 30))) for _ in range(60)]
+    item = " ".join(words)
+    ix = k.Index([(1, item)])
+    long_tag = f'<a href="x" style="{"color: red; " * 40}">'
+    forms = {
+        "one word of many letters": "".join(words),
+        "unknown letters glued to both ends": "zzqz" + "".join(words[:14]) + "qzzq",
+        "words of over 24 letters, split": " ".join(w[:3] + " " + w[3:] for w in words),
+        "long tags inside": f" {long_tag}".join([" ".join(words[:5]), " ".join(words[5:9]), " ".join(words[9:14])]),
+        "what only looks like a tag": "if a <b " + " ".join(words[:13]) + " > c",
+        "escaped twice": "\\\\n".join(words[:14]),
+        "entity of a tag": "&lt;b&gt;".join([" ".join(words[:6]), " ".join(words[6:13])]),
+        "after half a million letters": "x y " * 200_000 + " ".join(words[:12]),
+        "long word put in": " ".join(words[:6] + ["w" * 300] + words[6:13]),
+    }
+    for name, text in forms.items():
+        assert ix.search(text) == {1}, name
+    assert ix.search(" ".join(words[:9]) + " and then " + " ".join(words[30:38])) == set()
+
+
+def test_finds_what_the_definition_says():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    item = [rng.choice(words) for _ in range(40)]
+    ix = k.Index([(1, " ".join(item))])
+    hits = 0
+    for _ in range(300):
+        a = rng.randrange(0, 20)
+        w = item[a : a + rng.randrange(10, 20)]
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["other"], [w[at], "more"]])
+        text = ["some", "words", "before", *w, "and", "after", "it"]
+        want = any(distance(item[s : s + m], text) <= m // 6 for m in (12, 18) for s in range(len(item) - m + 1))
+        hits += want
+        assert (ix.search(" ".join(text)) == {1}) == want
+    assert 50 < hits < 290
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
