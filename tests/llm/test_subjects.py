@@ -24,7 +24,7 @@ def make(rng, n, wrong=0.0):
 
 def test_held_out_accuracy_with_wrong_labels():
     rng = random.Random(1)
-    m = s.train([(t, {a: 1.0 for a in lab} or {"none": 1.0}) for t, lab, _ in make(rng, 400, wrong=0.1)], sorted(WORDS))
+    m = s.train([s.Labelled(t, {a: 1.0 for a in lab} or {"none": 1.0}) for t, lab, _ in make(rng, 400, wrong=0.1)], sorted(WORDS))
     test = make(rng, 200)
     right = sum(set(m.areas_of(t)) == truth for t, _, truth in test)
     assert right >= 0.95 * len(test)
@@ -40,9 +40,25 @@ def test_rows_of_any_kind(spark):
     df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(docs)] + [(900, None), (901, ""), (902, " \n"), (903, "42"), (904, SENTENCES[0].format("tort") * 3000), (904, "x")], "doc_id long, text string").selectExpr("*", "'clash' as subject", "1 as key")
     labels = spark.createDataFrame([(i, a.upper() + " ", "x") for i, (_, lab, _) in enumerate(docs) for a in (lab or {"none"})] * 2 + [(None, "law", "x"), (1, None, None)], "doc_id long, subject string, annotator string")
     sample = s.labelled_sample(df, labels)
-    assert len(sample) == 60 and all(v <= 1 for _, lab in sample for v in lab.values())
+    assert len(sample) == 60 and all(v <= 1 for x in sample for v in x.labels.values())
     got = s.assign(df, "doc_id", "text", s.train(sample, sorted(WORDS))).collect()
     assert len(got) == len({tuple(r) for r in got}) and {r.doc_id for r in got} & {900, 901, 902, 903} == set() and any(r.doc_id == 904 for r in got)
     assert s.assign(df, "doc_id", "text", s.train([], sorted(WORDS))).count() == 0
     assert s.assign(df.filter("false"), "doc_id", "text", s.train(sample, sorted(WORDS))).count() == 0
     assert s.train(sample, []).areas_of("tort") == []
+
+
+def test_no_sentence_is_left_out():
+    text = "if the plaintiff (see docket 4) appeals, the court hears it.\nreturn of the jury: the verdict (guilty) stands.\nconst entry = route(23);\n42\n"
+    assert len(s.sentences(text)) == 3
+    rng = random.Random(4)
+    docs = make(rng, 300)
+    coded = [(t + f"\nconst {(w := rng.choice(['entry', 'parser', 'layout']))} = route({i});\nif {w} != view: raise ValueError('{w}')", lab) for i, (t, lab, _) in enumerate(docs)]
+    m = s.train([s.Labelled(t, {a: 1.0 for a in lab} or {"none": 1.0}) for t, lab in coded], sorted(WORDS))
+    assert m.areas_of("const entry = route(7);\nif parser != view: raise ValueError('parser')") == []
+    assert m.areas_of("if the plaintiff (see the court docket) comes, then the court docket is there.\nThere is a wrong total under the tort.") == ["law"]
+
+
+def test_what_the_metadata_stands_for():
+    docs = [s.Labelled("x", {"law": 1.0} if i % 10 else {"music": 1.0}, {"source": "court", "kind": None}) for i in range(40)] + [s.Labelled("x", {"law": 1.0}, {"source": "few"})] * 3
+    assert s.metadata_labels(docs, ["law", "music"]) == {("source", "court"): {"law": 0.9}}

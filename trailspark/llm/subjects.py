@@ -2,21 +2,24 @@
 
 One-versus-rest linear classifiers (logistic, on hashed word n-grams) judge
 single sentences. They start from weak labels: every sentence takes the
-labels its document was given by hand, be they right or wrong. A sentence
-about nothing in particular stands in documents of all areas and so gets a
-low score for each. In later rounds a sentence's label is what the
-classifiers themselves say, among the areas that its document can have, and
-the words that describe an area in the table of areas count as labelled too.
-Thresholds are chosen per area, from 0.5 to 0.7, on every fifth document; these
-take part in the fit too and are compared with the classifiers' own last labels,
-so this mostly confirms the model and isn't a test of it. A document has
-the areas that make up a given share of its sentences on any area.
+labels its document was given by hand, be they right or wrong, and those
+that its metadata (where it comes from, what section it is) stands for, if
+most labelled documents of that value have them. A sentence about nothing in
+particular stands in documents of all areas and so gets a low score for
+each; so does a line of code, which its own shape tells apart. In later
+rounds a sentence's label is what the classifiers themselves say, among the
+areas that its document can have, and the words that describe an area in the
+table of areas count as labelled too. Thresholds are chosen per area against
+the hand labels of every fifth document, which that fit leaves out; the last
+fit takes all. A document has the areas that make up a given share of its
+sentences on any area.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .leaks import ESCAPED, _escape, plain
+from .leaks import plain
 
 #: Buckets of the feature hash.
 BUCKETS = 1 << 18
@@ -39,104 +42,174 @@ SHRINK = 0.05
 #: Least score at which a sentence is taken for one on an area.
 SURE = 0.5
 #: Least score at which a later round takes a sentence's area for its label.
-RELABEL = 0.6
+RELABEL = 0.55
 #: A document has an area if this share of its sentences on any area is about it.
 SHARE = 0.25
+#: A value of the metadata stands for an area if so many labelled documents have it, and this share of them the area.
+META_DOCS, META_SHARE = 20, 0.5
+#: Steps of the first fit and of each later one, which goes on from the weights before.
+STEPS, MORE_STEPS = 45, 25
 
-SENTENCE = re.compile(r"(?<=[.?!])[\"'”)\]]*\s+|\n+")
+SENTENCE = re.compile(r"[.?!]+[\"'”)\]]*\s+|\n+")
 CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
 WORD = re.compile(r"[^\W\d_]+")
 NUMBER = re.compile(r"\d+")
-#: Sentences whose area a task remembers.
+#: Sentences whose area a task remembers, and words whose features it does.
 MEMO = 200_000
-# What a name in code adds to the word it is made of.
-CODE_ENDS = {"form", "list", "row", "id"}
-
-
-# A line of code: it starts with a keyword or comment sign and holds code punctuation.
-CODE_LINE = re.compile(r"^\s*(?:(?:\[\w+\]|[A-Z]{4,5}|ok|warn|line|[+-])\s+)*(?://|/\*|(?:const|let|var|def|class|return|import|from|function|raise|export|elif|else|if|for|while)\b.*(?:[;:(){}=]|\w\.\w))")
+#: Shapes that tell code, paths and log lines from prose; each is a feature like a word.
+CODE = re.compile(r"[(){}\[\];=<>_/#]")
+SHAPES = [re.compile(p) for p in (r"\w\(", r"[;{]\s*$", r"^\s*(?://|/\*|#)", r"[=!<>]=|\w\s*=\s*\w", r"\w[./]\w", r"[{}\[\]]", r"\w_\w", r"\)\s*:", r"['\"]\w+['\"]\)")]
 
 
 def sentences(text: str | None) -> list[str]:
-    """The sentences and lines of a text (JSON escapes undone); blank lines and lines of code are left out."""
+    """The sentences and lines of a text that hold a word, compound names cut and numbers made ``0``; none is left out."""
     if not text:
         return []
-    if "\\" in text:
-        text = ESCAPED.sub(_escape, text)
-    return [s for s in SENTENCE.split(text) if s and WORD.search(s) and not CODE_LINE.match(s)]
+    return [s for s in SENTENCE.split(CAMEL.sub(" ", NUMBER.sub("0", plain(text)))) if WORD.search(s)]
 
 
 def stem(w: str) -> str:
     return w[:-1] if len(w) > 4 and w[-1] == "s" and w[-2] != "s" else w
 
 
-def features(sentence: str) -> list[int]:
-    """Buckets of a sentence's word n-grams.
+class Rows:
+    """Sentences as arrays: row ``i`` holds the four buckets of each of its words, ``idx[:, start[i]:start[i + 1]]``; none is empty.
 
-    Words are taken without case, plural and code endings; besides each word
-    and pair there is a form in which letters are sorted, so that swapped
-    letters and misplaced blanks don't matter.
+    ``BUCKETS`` stands for no feature.
     """
-    raw = WORD.findall(CAMEL.sub(" ", plain(sentence)).replace("_", " "))
-    w = [stem(x.casefold()) for x in raw]
-    w = [x for i, x in enumerate(w) if not (x in CODE_ENDS and i)] if len(w) > 1 else w
-    grams = set()
-    for i, x in enumerate(w):
-        grams.add(x)
-        if len(x) > 3:
-            grams.add("~" + "".join(sorted(x)))
-        if i:
-            grams.add(w[i - 1] + " " + x)
-            grams.add("~~" + "".join(sorted(w[i - 1] + x)))
-    return [xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in grams]
-
 
-class Rows:
-    """Sentences as flat feature arrays; row ``i`` holds ``idx[start[i]:start[i + 1]]``."""
+    def __init__(self, idx: np.ndarray, size: np.ndarray) -> None:
+        self.idx = idx
+        self.start = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        self.rescale()
 
-    def __init__(self, rows: list) -> None:
-        n = np.array([len(r) for r in rows], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(n)])[:-1].astype(np.int64)
-        self.idx = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(n.sum()))
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+    def rescale(self) -> None:
+        n = np.add.reduceat((self.idx < BUCKETS).sum(axis=0), self.start) if len(self.start) else np.zeros(0)
         self.scale = (1 / np.sqrt(np.maximum(n, 1))).astype(np.float32)
 
     def scores(self, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """One column per class; class by class, to keep memory small."""
-        out = np.zeros((len(self.start), w.shape[1]), dtype=np.float32)
-        if len(self.idx):
-            for j in range(w.shape[1]):
-                out[:, j] = np.add.reduceat(w[:, j][self.idx], self.start) * self.scale + bias[j]
+        """One row per class; ``w`` holds one too, with a last weight of 0."""
+        out = np.zeros((len(w), len(self.start)), dtype=np.float32)
+        if len(self.start):
+            for j in range(len(w)):
+                v = w[j]
+                each = v[self.idx[0]]
+                for i in self.idx[1:]:
+                    each += v[i]
+                out[j] = np.add.reduceat(each, self.start) * self.scale + bias[j]
         return out
 
 
+class Features:
+    """Buckets of word n-grams; what a word seen before adds to them is remembered.
+
+    Words are taken without case and plural. Besides each word and pair of
+    neighbours there is a form in which the order of letters doesn't count, so
+    that swapped letters and misplaced blanks don't matter. A sentence's
+    shapes stand before its words.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.made: list[tuple] = []
+        self.table = np.zeros((4, 0), dtype=np.int64)
+
+    def _add(self, raw: str) -> int:
+        w = stem(raw.casefold())
+        # The sum of the letters' hashes doesn't depend on their order, and those of two words add up.
+        letters = sum(map(_letter, w)) & 0xFFFFFFFF
+        self.made.append((xxhash.xxh32_intdigest(w) % BUCKETS, (letters * 2654435761 >> 7) % BUCKETS if len(w) > 3 else BUCKETS, xxhash.xxh32_intdigest(w, 7), letters))
+        self.ids[raw] = n = len(self.ids)
+        return n
+
+    def rows(self, sentences: list[str]) -> Rows:
+        if len(self.ids) > MEMO:
+            self.clear()
+        ids, get, add = [], self.ids.get, self._add
+        size = np.zeros(len(sentences), dtype=np.int64)
+        for i, s in enumerate(sentences):
+            words = WORD.findall(s)
+            if CODE.search(s):
+                words = [f"\1{k}" for k, shape in enumerate(SHAPES) if shape.search(s)] + words
+            size[i] = len(words)
+            for w in words:
+                n = get(w)
+                ids.append(add(w) if n is None else n)
+        if self.made:
+            self.table = np.concatenate([self.table, np.array(self.made, dtype=np.int64).T], axis=1)
+            self.made = []
+        own, letters, code, total = self.table[:, np.array(ids, dtype=np.int64)]
+        idx = np.full((4, len(ids)), BUCKETS, dtype=np.int32)
+        idx[0], idx[1] = own, letters
+        idx[2, 1:] = ((code[:-1] * 31 + code[1:]) * 40503 >> 11) % BUCKETS
+        idx[3, 1:] = ((total[:-1] + total[1:]) * 2246822519 >> 9) % BUCKETS
+        first = np.cumsum(size) - size
+        idx[2:, first[size > 0]] = BUCKETS
+        return Rows(idx, size)
+
+
+@lru_cache(maxsize=65536)
+def _letter(c: str) -> int:
+    return xxhash.xxh32_intdigest(c)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic one-versus-rest weights by full-batch Adam steps."""
-    k = y.shape[1]
-    used, local = np.unique(rows.idx, return_inverse=True)
-    own = Rows.__new__(Rows)
-    own.start, own.row, own.scale, own.idx = rows.start, rows.row, rows.scale, local.astype(np.int32)
-    w, b = np.zeros((len(used), k), dtype=np.float32), np.full(k, -2.0)
-    m1, m2 = np.zeros_like(w), np.zeros_like(w)
-    total = weight.sum()
-    l2 = SHRINK / total
-    gw = np.zeros_like(w)
-    for t in range(1, steps + 1):
-        g = (sigmoid(own.scores(w, b)) - y) * weight[:, None] / total
-        for j in range(k):
-            gw[:, j] = np.bincount(own.idx, weights=(g[:, j] * own.scale)[own.row], minlength=len(used))
-        gw += l2 * w
-        m1 = 0.9 * m1 + 0.1 * gw
-        m2 = 0.99 * m2 + 0.01 * gw * gw
-        w -= 0.5 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)
-        b -= 2.0 * g.sum(axis=0)
-    full = np.zeros((BUCKETS, k), dtype=np.float32)
-    full[used] = w
-    return full, b
+class Fit:
+    """Logistic one-versus-rest weights by full-batch Adam steps; a later call goes on from the weights before."""
+
+    def __init__(self, rows: Rows, classes: int) -> None:
+        self.used = np.unique(rows.idx)
+        self.used = self.used[self.used < BUCKETS]
+        at = np.full(BUCKETS + 1, len(self.used), dtype=np.int32)
+        at[self.used] = np.arange(len(self.used), dtype=np.int32)
+        # Row by row, without the entries that stand for no feature but for one that each row has.
+        n = len(rows.start)
+        flat, row = at[rows.idx].ravel(), np.tile(rows.row, len(rows.idx))
+        real = flat < len(self.used)
+        flat, row = np.concatenate([flat[real], np.full(n, len(self.used), dtype=np.int32)]), np.concatenate([row[real], np.arange(n, dtype=np.int32)])
+        order = np.argsort(row, kind="stable")
+        flat, row = flat[order], row[order]
+        self.rows = Rows.__new__(Rows)
+        self.rows.idx, self.rows.start, self.rows.scale = flat[None].astype(np.int64), np.searchsorted(row, np.arange(n)), rows.scale
+        # The same entries by column, for the gradient; the last column stands for no feature.
+        order = np.argsort(flat, kind="stable")
+        self.column = np.searchsorted(flat[order], np.arange(len(self.used)))
+        self.by_column = row[order][: len(flat) - n].astype(np.int64)
+        self.w, self.b = np.zeros((classes, len(self.used) + 1), dtype=np.float32), np.full(classes, -2.0, dtype=np.float32)
+
+    def scores(self) -> np.ndarray:
+        return self.rows.scores(self.w, self.b)
+
+    def run(self, y: np.ndarray, weight: np.ndarray, steps: int) -> np.ndarray:
+        """Fits to ``y`` (class, row) and returns the scores of all rows; rows of weight 0 have no say."""
+        total = max(weight.sum(), 1)
+        l2 = SHRINK / total
+        w = self.w[:, :-1]
+        m1, m2 = np.zeros_like(w), np.zeros_like(w)
+        y, part = y.astype(np.float32), (weight / total).astype(np.float32)
+        scaled = part * self.rows.scale
+        for t in range(1, steps + 1):
+            g = sigmoid(self.scores()) - y
+            for j in range(len(w)):
+                gw = np.add.reduceat((g[j] * scaled)[self.by_column], self.column)
+                gw += np.float32(l2) * w[j]
+                m1[j] = 0.9 * m1[j] + 0.1 * gw
+                m2[j] = 0.99 * m2[j] + 0.01 * gw * gw
+                w[j] -= np.float32(0.5 / (1 - 0.9**t)) * m1[j] / (np.sqrt(m2[j] * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-6))
+            self.b -= 2.0 * (g * part).sum(axis=1)
+        return sigmoid(self.scores())
+
+    def full(self) -> np.ndarray:
+        out = np.zeros((len(self.w), BUCKETS + 1), dtype=np.float32)
+        out[:, self.used] = self.w[:, :-1]
+        return out
 
 
 @dataclass
@@ -148,27 +221,35 @@ class Model:
 
     def sentence_areas(self, rows: Rows) -> np.ndarray:
         """The area of each sentence, -1 for none."""
-        p = sigmoid(rows.scores(self.weights, self.bias))
-        best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
-        ok = p[np.arange(len(p)), best] >= self.thresholds[best] if len(p) else np.zeros(0, dtype=bool)
-        return np.where(ok, best, -1)
+        return best_areas(sigmoid(rows.scores(self.weights, self.bias)), self.thresholds)
 
     def areas_of(self, text: str | None, share: float = SHARE) -> list[str]:
-        return self.areas_of_all([text], {}, share)[0]
+        return Judge(self, share).areas_of_all([text])[0]
+
+
+def best_areas(p: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    best = p.argmax(axis=0)
+    return np.where(p[best, np.arange(p.shape[1])] >= thresholds[best], best, -1)
+
+
+class Judge:
+    """A model with what a task remembers: the areas of the sentences that it has seen."""
+
+    def __init__(self, model: Model, share: float = SHARE) -> None:
+        self.model, self.share, self.features, self.known = model, share, Features(), {}
 
-    def areas_of_all(self, texts: list, known: dict[str, int], share: float = SHARE) -> list[list[str]]:
-        """The areas of each text. ``known`` holds the areas of sentences judged before, numbers left open."""
-        if not self.areas:
+    def areas_of_all(self, texts: list) -> list[list[str]]:
+        """The areas of each text, whole texts read."""
+        m, known = self.model, self.known
+        if not m.areas:
             return [[] for _ in texts]
-        cut = [[NUMBER.sub("0", x) for x in sentences(t)] for t in texts]
         if len(known) > MEMO:
             known.clear()
+        cut = [sentences(t) for t in texts]
         new = list(dict.fromkeys(x for c in cut for x in c if x not in known))
-        feats = [features(x) for x in new]
-        kept = [f for f in feats if f]
-        judged = iter(self.sentence_areas(Rows(kept)).tolist()) if kept else iter(())
-        for x, f in zip(new, feats):
-            known[x] = next(judged) if f else -1
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            known.update(zip(part, m.sentence_areas(self.features.rows(part)).tolist()))
         out = []
         for c in cut:
             n: dict[int, int] = {}
@@ -177,101 +258,156 @@ class Model:
                 if a >= 0:
                     n[a] = n.get(a, 0) + 1
             total = sum(n.values())
-            out.append([self.areas[a] for a in sorted(n) if n[a] >= share * total - 1e-9])
+            out.append([m.areas[a] for a in sorted(n) if n[a] >= self.share * total - 1e-9])
         return out
 
 
-def _common(feats: list[list[int]], doc_of: list[int]) -> list[list[int]]:
-    """Leaves out features that stand in fewer than ``LEAST_DOCS`` documents; one bucket stands for all of them."""
-    seen = np.zeros(BUCKETS, dtype=np.int32)
-    last = np.full(BUCKETS, -9, dtype=np.int64)
-    for f, d in zip(feats, doc_of):
-        for x in f:
-            if last[x] != d:
-                last[x] = d
-                seen[x] += 1
-    return [[x for x in f if seen[x] >= LEAST_DOCS] or f[:1] for f in feats]
-
-
-def train(docs: list[tuple[str, dict[str, float]]], areas: list[str], described: dict[str, str] | None = None, rounds: int = 2) -> Model:
-    """Fits the classifiers on ``(text, {area: share of annotators})``.
+@dataclass
+class Labelled:
+    """A document of the fit: the share of its annotators for each area, and its metadata."""
+
+    text: str
+    labels: dict[str, float]
+    meta: dict[str, str | None] = field(default_factory=dict)
+
+
+def metadata_labels(docs: list[Labelled], areas: list[str]) -> dict[tuple[str, str], dict[str, float]]:
+    """The areas that a value of the metadata stands for, with their share among its labelled documents."""
+    seen: dict[tuple, int] = {}
+    have: dict[tuple, dict[str, float]] = {}
+    for d in docs:
+        for kv in d.meta.items():
+            if kv[1]:
+                seen[kv] = seen.get(kv, 0) + 1
+                of = have.setdefault(kv, {})
+                for a, v in d.labels.items():
+                    of[a] = of.get(a, 0.0) + v
+    at = set(areas)
+    got = {kv: {a: v / seen[kv] for a, v in of.items() if a in at and v >= META_SHARE * seen[kv]} for kv, of in have.items() if seen[kv] >= META_DOCS}
+    return {kv: of for kv, of in got.items() if of}
+
+
+def _common(rows: Rows, doc_of: list[np.ndarray]) -> None:
+    """Takes features that stand in fewer than ``LEAST_DOCS`` documents out of the rows. ``doc_of`` holds the documents of each row."""
+    # Of each row as many documents as can matter.
+    docs = np.full((len(doc_of), LEAST_DOCS), -1, dtype=np.int64)
+    for i, d in enumerate(doc_of):
+        docs[i, : min(len(d), LEAST_DOCS)] = d[:LEAST_DOCS]
+    keys = (rows.idx.astype(np.int64).ravel()[:, None] << 32) + docs[np.tile(rows.row, 4)] + 1
+    keys = np.unique(keys[keys & 0xFFFFFFFF > 0])
+    seen = np.bincount(keys >> 32, minlength=BUCKETS + 1)
+    rare = seen < LEAST_DOCS
+    rare[BUCKETS] = False
+    rows.idx[rare[rows.idx]] = BUCKETS
+    rows.rescale()
+
+
+def train(docs: list[Labelled], areas: list[str], described: dict[str, str] | None = None, rounds: int = 2) -> Model:
+    """Fits the classifiers on labelled documents.
 
     Without labelled documents nothing has an area.
     """
     k = len(areas)
     at = {a: j for j, a in enumerate(areas)}
-    feats, doc_of, y = [], [], []
-    memo: dict[str, list[int]] = {}
-    for d, (text, labels) in enumerate(docs):
-        target = np.zeros(k)
-        for a, v in labels.items():
-            if a in at:
-                target[at[a]] = v
-        for x in sentences(text):
-            x = NUMBER.sub("0", x)
-            f = memo.get(x)
-            if f is None:
-                f = memo[x] = features(x)
-            if f:
-                feats.append(f)
-                doc_of.append(d)
-                y.append(target)
-    if not feats or not areas:
-        return Model(areas, np.zeros((BUCKETS, k), dtype=np.float32), np.full(k, -9.0), np.full(k, SURE))
-    for a, text in (described or {}).items():
-        f = features(text) if text else []
-        if f and a in at:
-            feats.append(f)
-            doc_of.append(-1)
-            y.append(np.eye(k)[at[a]])
+    meta = metadata_labels(docs, areas)
+    hand = np.zeros((k, len(docs)))
     # Equal sentences are one row with a weight.
-    feats = [tuple(f) for f in _common(feats, doc_of)]
-    code: dict[tuple, int] = {}
-    at_row = np.array([code.setdefault(f, len(code)) for f in feats])
-    rows, weak, doc_ids = Rows(list(code)), np.array(y), np.array(doc_of)
-    weight = np.bincount(at_row, minlength=len(code)).astype(float)
+    code: dict[str, int] = {}
+    at_row, doc_of = [], []
+    for d, doc in enumerate(docs):
+        for a, v in doc.labels.items():
+            if a in at:
+                hand[at[a], d] = v
+        for x in sentences(doc.text):
+            at_row.append(code.setdefault(x, len(code)))
+            doc_of.append(d)
+    if not at_row or not areas:
+        return Model(areas, np.zeros((k, BUCKETS + 1), dtype=np.float32), np.full(k, -9.0), np.full(k, SURE))
+    weak = hand.copy()
+    for d, doc in enumerate(docs):
+        for kv in doc.meta.items():
+            for a, v in meta.get(kv, {}).items():
+                weak[at[a], d] = max(weak[at[a], d], v)
+    extra = [(at[a], x) for a, text in (described or {}).items() if a in at and (x := " ".join(sentences(text)))]
+    for _, x in extra:
+        at_row.append(code.setdefault(x, len(code)))
+        doc_of.append(-1)
+    at_row, doc_ids = np.array(at_row), np.array(doc_of)
+    inside = doc_ids >= 0
+    about = np.eye(k)[:, [j for j, _ in extra]] if extra else np.zeros((k, 0))
+    y = np.concatenate([weak[:, doc_ids[inside]], about], axis=1)
+    rows = Features().rows(list(code))
+    order = np.argsort(at_row, kind="stable")
+    _common(rows, np.split(np.maximum(doc_ids, 0)[order], np.cumsum(np.bincount(at_row, minlength=len(code)))[:-1]))
 
-    def mean(target: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(at_row, weights=target[:, j], minlength=len(code)) / weight for j in range(k)], axis=1)
+    def mean(target: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = np.bincount(at_row[use], minlength=len(code)).astype(float)
+        return np.stack([np.bincount(at_row[use], weights=target[j, use], minlength=len(code)) for j in range(k)]) / np.maximum(weight, 1), weight
 
-    weights, bias = fit(rows, mean(weak), weight)
-    target = weak
-    inside = doc_ids >= 0
-    for _ in range(rounds):
-        p = sigmoid(rows.scores(weights, bias))[at_row]
+    def relabelled(p: np.ndarray) -> np.ndarray:
         # What a document can be about: its labels, and any area with several sure sentences (labels may be wrong).
-        n = np.zeros((len(docs), k))
-        np.add.at(n, doc_ids[inside], p[inside] > SURE)
-        lab = np.zeros((len(docs), k))
-        lab[doc_ids[inside]] = weak[inside] > 0
-        allowed = np.maximum(n >= 2, lab)[doc_ids]
-        q = p * np.maximum(allowed, 0.25)
-        best = q.argmax(axis=1)
-        yes = q[np.arange(len(q)), best] > RELABEL
-        target = np.zeros_like(weak)
-        target[np.arange(len(q))[yes], best[yes]] = 1.0
-        target[~inside] = weak[~inside]
-        weights, bias = fit(rows, mean(target), weight)
-    # Thresholds: for each area the cut of best agreement with the sentence labels on every fifth document, within bounds.
-    p = sigmoid(rows.scores(weights, bias))[at_row]
-    held = (doc_ids % 5 == 0) & (doc_ids >= 0)
-    cuts = np.linspace(SURE, 0.7, 11)
-    thresholds = np.full(k, SURE)
-    for j in range(k):
-        truth = target[held, j] > 0
-        if truth.sum() >= 20:
-            f1 = [2 * (truth & (p[held, j] >= c)).sum() / max(1, truth.sum() + (p[held, j] >= c).sum()) for c in cuts]
-            good = cuts[np.array(f1) >= max(f1) - 1e-6]
-            thresholds[j] = good[len(good) // 2]
-    return Model(areas, weights, bias, thresholds)
+        p = p[:, at_row]
+        n = np.stack([np.bincount(doc_ids[inside], weights=p[j, inside] > SURE, minlength=len(docs)) for j in range(k)])
+        allowed = np.ones_like(p)
+        allowed[:, inside] = np.where((n >= 2) | (weak > 0), 1.0, 0.25)[:, doc_ids[inside]]
+        q = p * allowed
+        best = q.argmax(axis=0)
+        target = np.zeros_like(y)
+        i = np.arange(q.shape[1])
+        yes = q[best, i] > RELABEL
+        target[best[yes], i[yes]] = 1.0
+        target[:, ~inside] = y[:, ~inside]
+        return target
+
+    # Every fifth document is left out until the thresholds are chosen.
+    held = inside & (doc_ids % 5 == 4)
+    fit = Fit(rows, k)
+    p = fit.run(*mean(y, ~held), STEPS)
+    for _ in range(rounds):
+        p = fit.run(*mean(relabelled(p), ~held), MORE_STEPS)
+    thresholds = _thresholds(p[:, at_row[held]], doc_ids[held], hand)
+    every = np.ones(len(doc_ids), dtype=bool)
+    p = fit.run(*mean(np.where(held, y, relabelled(p)), every), MORE_STEPS)
+    p = fit.run(*mean(relabelled(p), every), MORE_STEPS)
+    return Model(areas, fit.full(), fit.b, thresholds)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_DOCS) -> list[tuple[str, dict[str, float]]]:
-    """Up to ``bound`` labelled documents with a text, and the share of their annotators for each area."""
+def _thresholds(p: np.ndarray, doc_ids: np.ndarray, hand: np.ndarray) -> np.ndarray:
+    """For each area in turn the cut, from ``SURE`` to 0.7, with which documents get most of the labels given by hand and fewest others."""
+    k = len(p)
+    thresholds = np.full(k, SURE)
+    docs, local = np.unique(doc_ids, return_inverse=True)
+    if not len(docs):
+        return thresholds
+    truth = hand[:, docs] >= 0.5
+    best = p.argmax(axis=0)
+    top = p[best, np.arange(p.shape[1])]
+    # How many sentences of each document each area has, at the thresholds so far.
+    n = np.stack([np.bincount(local[(best == j) & (top >= SURE)], minlength=len(docs)) for j in range(k)])
+    cuts = np.linspace(SURE, 0.7, 11)
+    for j in range(k):
+        if truth[j].sum() < 20:
+            continue
+        got = []
+        for c in cuts:
+            n[j] = np.bincount(local[(best == j) & (top >= c)], minlength=len(docs))
+            got.append((n > 0) & (n >= SHARE * n.sum(axis=0) - 1e-9))
+        right = [(x == truth).sum() for x in got]
+        first = int(np.argmax(right))
+        # The least cut that isn't worse by more than chance makes it.
+        good = [i for i, x in enumerate(got) if right[first] - right[i] <= np.sqrt((x != got[first]).sum())]
+        thresholds[j] = cuts[min(good)]
+        n[j] = np.bincount(local[(best == j) & (top >= thresholds[j])], minlength=len(docs))
+    return thresholds
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_DOCS, meta: tuple[str, ...] = ("source", "kind")) -> list[Labelled]:
+    """Up to ``bound`` labelled documents with a text, the share of their annotators for each area, and the columns of ``meta`` they have."""
     lab = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject"), F.coalesce("annotator", F.lit("")).alias("annotator")).filter("doc_id is not null and subject is not null").distinct()
     per = lab.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "annotator")).alias("labels"))
     picked = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    met = docs.select("doc_id", "text").filter("text is not null and text != ''").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    meta = tuple(c for c in meta if c in docs.columns)
+    met = docs.select("doc_id", "text", *meta).filter("text is not null and text != ''").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over at most ``bound`` rows
     rows = met.withColumn("_upto", upto).filter(F.col("_upto") <= LABELLED_CHARS).orderBy("doc_id").collect()
     out = []
@@ -280,7 +416,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_DO
         share: dict[str, float] = {}
         for x in r.labels:
             share[x.subject] = share.get(x.subject, 0.0) + 1 / len(who)
-        out.append((r.text, {a: min(1.0, v) for a, v in share.items()}))
+        out.append(Labelled(r.text, {a: min(1.0, v) for a, v in share.items()}, {c: r[c] for c in meta}))
     return out
 
 
@@ -294,9 +430,9 @@ def assign(docs: DataFrame, key: str, text: str, model: Model, share: float = SH
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        m, known = sent.value, {}
+        judge = Judge(sent.value, share)
         for pdf in batches:
-            got = [(k, a) for k, areas in zip(pdf["key"], m.areas_of_all(list(pdf["text"]), known, share)) for a in areas]
+            got = [(k, a) for k, areas in zip(pdf["key"], judge.areas_of_all(list(pdf["text"]))) for a in areas]
             if got:
                 yield pd.DataFrame(got, columns=["key", "subject"])
 
