@@ -7,6 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from trailspark.functions import jsons
 from trailspark.operators import drift, hierarchy, nested
 
 
@@ -106,12 +107,49 @@ def test_nodes_of_odd_documents(spark):
     assert n == {"2": 1, None: 1, "7": 1, "8": 50_000}
 
 
+def test_json_of_any_depth_and_length_of_number(spark):
+    deep = "[" * 50_000 + '{"a":1}' + "]" * 50_000
+    long = '[{"type":"n","v":' + "7" * 5_000 + "}]"
+    docs = [("s", "1", "content", deep, None), ("s", "2", "content", long, None), ("s", "3", "content", "[" * 50_000 + "{}", None), ("s", "4", "content", "[{}," + "7" * 5_000 + "x]", None)]
+    got = nested.nodes(spark.createDataFrame(docs, "src string, row_id string, top_key string, doc string, usage string"), values=True).collect()
+    assert {(r.row_id, r.kind, r.path.count(".")) for r in got} == {("1", "content", 49_999), ("2", "n", 0)}
+    assert [r.value for r in got if r.row_id == "2"] == [long[1:-1].replace(":", ": ").replace(",", ", ")]
+    rng = random.Random(6)
+    for _ in range(400):
+        v = random_json(rng)
+        t = json.dumps(v, indent=rng.choice([None, 1]))
+        assert jsons._read(t) == v and jsons.parse(jsons.dump(jsons._read(t))) == v
+        broken = t[: rng.randrange(len(t))] + rng.choice(["", "}", ",", '"', "]"])
+        try:
+            json.loads(broken)
+        except ValueError:
+            with pytest.raises((ValueError, IndexError)):
+                jsons._read(broken)
+    big = jsons._read(long)
+    assert jsons.dump([{"d": big}]).count("7") == 5_000
+
+
+def test_drift_of_deep_lines_and_long_numbers(spark):
+    rows = [(1, "m", 1, '{"a":' + "7" * 5_000 + ',"b":' + "[" * 50_000 + "]" * 50_000 + "}"), (2, "m", 2, '{"a":"x","b":1}')]
+    got = drift.drift(spark.createDataFrame(rows, "file_id long, machine string, exported_at long, raw string")).collect()
+    assert {(r.change, r.old_field) for r in got} == {("retyped", "a"), ("retyped", "b")}
+    t = drift.ingest(spark.createDataFrame(rows, "file_id long, machine string, exported_at long, raw string"), "raw", ["file_id"]).collect()
+    assert all(r._readable for r in t) and "7" * 5_000 in t[0]._rescued
+
+
+def test_a_hot_machine_and_a_hot_file(spark):
+    rows = [(f, "hot", f // 2, json.dumps({"k" if f % 2 else "K": f"v{i}", "same": i})) for f in range(60) for i in range(40 if f == 7 else 3)]
+    got = [tuple(r) for r in drift.drift(spark.createDataFrame(rows, "file_id long, machine string, exported_at long, raw string")).collect()]
+    assert len(got) == 59 and set(got) == brute.drift(rows)
+
+
 def test_equal_shapes_share_a_state_and_variants_get_their_table(spark):
     docs = [("s", "1", "content", '[{"type":"t","input":{"x":1}},{"input":{"x":7},"type":"t"},{"type":"t","input":"x"}]', None)]
-    n = nested.nodes(spark.createDataFrame(docs, "src string, row_id string, top_key string, doc string, usage string"), values=True)
+    df = spark.createDataFrame(docs, "src string, row_id string, top_key string, doc string, usage string")
+    n = nested.nodes(df, values=True)
     shapes = [r.shape for r in n.orderBy("path").collect()]
     assert shapes[0] == shapes[1] != shapes[2]
-    t = nested.variant_table(n, "t", {"input.x": "bigint", "path": "string"})
+    t = nested.variant_table(df, ["t"], {"input.x": "bigint", "path": "string"})
     assert [r.input_x for r in t.orderBy("row_id", "path").collect()] == [1, 7, None] and "path_" in t.columns
 
 
@@ -143,5 +181,8 @@ def test_rescue_keeps_every_value_and_promotion_replays_it(spark):
     assert got[1].type == "x" and got[1].isMeta is None and json.loads(got[1]._rescued) == {"isMeta": "no", "extra": {}, "extra.k": [1], "session_id": "s1"}
     assert got[1].sessionId == "s1" and got[2].sessionId == "s2" and json.loads(got[2]._rescued) == {"type": 5}
     assert not got[3]._readable and got[3]._rescued is None
+    told = {r.id: r for r in drift.ingest(spark.createDataFrame(rows, "id long, raw string"), "raw", ["id"], approved=drift.APPROVED).collect()}
+    assert told[1].sessionId == "s1" and json.loads(told[1]._promoted) == {"sessionId": "session_id"} and "session_id" not in json.loads(told[1]._rescued)
+    assert told[2]._promoted is None
     with pytest.raises(ValueError):
         drift.ingest(spark.createDataFrame(rows, "type long, raw string"), "raw", ["type"])

@@ -3,9 +3,12 @@
 Rescue-column ingestion: each line is read against a target schema; members
 that fit become typed columns, all others (unknown, or of a type that can't
 be cast without loss) stay as JSON in ``_rescued``, so no value is lost.
-``promote`` replays rescued values into new typed columns. What a file
-really held is read back from both parts, and files of one machine are
-compared in order of export.
+Approved fields are promoted: their rescued values are replayed into the
+typed columns that they stand for, and the table keeps which field each came
+from. What a file really held is so told by its typed places, by where their
+values came from, and by what stays rescued; files of one machine are
+compared by that, in order of export. All of it is done in the one pass that
+reads the lines.
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsons import Number, clean, dump, parse
 from ..session import materialize
-from .nested import _clean, parse
+from .ordered import with_neighbours
 
-JSON_KIND = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
+#: JSON types as bits; a field's types in a file are their union.
+KINDS = {str: 1, int: 2, float: 2, Number: 2, bool: 4, list: 8, dict: 16}
+STRING, OBJECT = 1, 16
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 #: The engine's target for exported lines of either agent: dotted member path -> type. Its column has _ for each dot.
@@ -33,6 +39,9 @@ TARGET = {
     "payload.type": "string", "payload.id": "string", "payload.model": "string",
 }
 
+#: Approved fields: rescued path -> the target path that its values are replayed into.
+APPROVED = {"session_id": "sessionId", "parent_uuid": "parentUuid", "is_meta": "isMeta", "is_sidechain": "isSidechain", "git_branch": "gitBranch"}
+
 
 def fits(v, kind: str) -> bool:
     """Whether a JSON value can stand in a column of this type without loss."""
@@ -58,34 +67,47 @@ def leaves(obj: dict) -> Iterator[tuple[str, object]]:
                 stack.append((path, v))
 
 
-def _ingest(keep: list[str], raw: str, target: dict[str, str]):
+def place(obj: dict, target: dict[str, str], approved: dict[str, str]) -> tuple[dict, dict, dict]:
+    """Typed values by target path, the rescued rest by path, and for promoted values the path they came from."""
+    got: dict[str, object] = {}
+    rest: dict[str, object] = {}
+    for path, v in leaves(obj):
+        if v is None:
+            continue
+        kind = target.get(path)
+        if kind is not None and path not in got and fits(v, kind):
+            got[path] = v
+        elif type(v) is dict:
+            rest.setdefault(path, {})  # that there is an object here; its members follow on their own
+        else:
+            rest[path] = v
+    origin: dict[str, str] = {}
+    for path in approved.keys() & rest.keys():
+        to = approved[path]
+        if to not in got and fits(rest[path], target[to]):
+            got[to] = rest.pop(path)
+            origin[to] = path
+    return got, rest, origin
+
+
+def _ingest(keep: list[str], raw: str, target: dict[str, str], approved: dict[str, str]):
     def run(batches):
         for b in batches:
             typed: list[list] = [[] for _ in target]
-            rescued, ok = [], []
+            rescued, promoted, ok = [], [], []
             for text in b.column(raw).to_pylist():
                 obj = parse(text)
                 good = type(obj) is dict
                 ok.append(good)
-                got: dict[str, object] = {}
-                rest: dict[str, object] = {}
-                for path, v in leaves(obj) if good else ():
-                    if v is None:
-                        continue
-                    kind = target.get(path)
-                    if kind is not None and path not in got and fits(v, kind):
-                        got[path] = v
-                    elif type(v) is dict:
-                        rest.setdefault(path, {})  # that there is an object here; its members follow on their own
-                    else:
-                        rest[path] = v
+                got, rest, origin = place(obj, target, approved) if good else ({}, {}, {})
                 for c, path in zip(typed, target):
                     x = got.get(path)
-                    c.append(_clean(x) if type(x) is str else x)
-                rescued.append(_clean(json.dumps(rest, ensure_ascii=False)) if rest else None)
+                    c.append(clean(x) if type(x) is str else x)
+                rescued.append(clean(dump(rest)) if rest else None)
+                promoted.append(clean(json.dumps(dict(sorted(origin.items())))) if origin else None)
             arrays = [b.column(c) for c in keep] + [pa.array(c, ARROW[k]) for c, k in zip(typed, target.values())]
-            names = keep + [column_of(p) for p in target] + ["_rescued", "_readable"]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(rescued, pa.string()), pa.array(ok, pa.bool_())], names=names)
+            names = keep + [column_of(p) for p in target] + ["_rescued", "_promoted", "_readable"]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(rescued, pa.string()), pa.array(promoted, pa.string()), pa.array(ok, pa.bool_())], names=names)
 
     return run
 
@@ -95,26 +117,27 @@ def column_of(path: str) -> str:
     return path.replace(".", "_")
 
 
-def ingest(lines: DataFrame, raw: str, keep: list[str], target: dict[str, str] | None = None) -> DataFrame:
-    """One table for all lines: ``keep`` columns, a typed column per target path, ``_rescued``, ``_readable``.
+def ingest(lines: DataFrame, raw: str, keep: list[str], target: dict[str, str] | None = None, approved: dict[str, str] | None = None) -> DataFrame:
+    """One table for all lines: ``keep`` columns, a typed column per target path, ``_rescued``, ``_promoted``, ``_readable``.
 
     ``_rescued`` is a JSON object from dotted path to value of all that has
-    no typed place (objects as ``{}``, their members under their own paths).
-    A line that is no JSON object has ``_readable`` false and nulls. Columns
-    of the input that aren't named in ``keep`` are not read; a kept name that
-    clashes with a target path is refused.
+    no typed place (objects as ``{}``, their members under their own paths),
+    ``_promoted`` one from target path to the ``approved`` path that its value
+    was replayed from. A line that is no JSON object has ``_readable`` false
+    and nulls. Columns of the input that aren't named in ``keep`` are not
+    read; a kept name that clashes with a target path is refused.
     """
     target = TARGET if target is None else target
-    made = [column_of(p) for p in target] + ["_rescued", "_readable"]
+    made = [column_of(p) for p in target] + ["_rescued", "_promoted", "_readable"]
     if len(set(keep) | set(made)) < len(keep) + len(made):
         raise ValueError("column names clash")
     src = lines.select(*keep, raw)
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)]] + [f"`{column_of(p)}` {k}" for p, k in target.items()] + ["_rescued string", "_readable boolean"])
-    return src.mapInArrow(_ingest(keep, raw, target), ddl)
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)]] + [f"`{column_of(p)}` {k}" for p, k in target.items()] + ["_rescued string", "_promoted string", "_readable boolean"])
+    return src.mapInArrow(_ingest(keep, raw, target, approved or {}), ddl)
 
 
 def promote(ingested: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """Replays rescued values into typed columns.
+    """Replays rescued values of a table that stands already into typed columns.
 
     ``fields``: rescued path -> (column, type). A typed column that exists
     is filled where it is null; what can't be cast stays rescued.
@@ -127,68 +150,65 @@ def promote(ingested: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFram
     return out
 
 
-#: The path of the row that says that a file has a readable line.
-FILE = "\0"
-
-
-def _observe(target: dict[str, str]):
-    schema = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("kind", pa.string()), ("value", pa.int64()), ("value2", pa.int64())])
-    kinds = {"string": "string", "boolean": "boolean", "bigint": "number", "double": "number"}
+def _observe(at_type: pa.DataType, target: dict[str, str], approved: dict[str, str]):
+    schema = pa.schema([("file_id", pa.int64()), ("path", pa.string()), ("kinds", pa.int32()), ("strings", pa.list_(pa.int64())), ("machine", pa.string()), ("exported_at", at_type)])
+    above = {p: [".".join(p.split(".")[:k]) for k in range(1, p.count(".") + 1)] for p in target}
 
     def run(batches):
         for b in batches:
-            seen: dict[tuple, None] = {}  # once per batch: the partial step before the shuffle
-            ids = b.column("file_id").to_pylist()
-            for i in set(ids):
-                seen[(i, FILE, "", 0, 0)] = None
-
-            def note(i, path, kind, v):
-                if kind == "string":
-                    h = xxhash.xxh128_intdigest(v.encode("utf-8", "surrogatepass"))
-                    lo, hi = h & (1 << 64) - 1, h >> 64
-                    seen[(ids[i], path, kind, lo - (1 << 63), hi - (1 << 63))] = None
-                else:
-                    seen[(ids[i], path, kind, 0, 0)] = None
-
-            for path, kind in target.items():
-                above = path.split(".")[:-1]
-                for i, v in enumerate(b.column(column_of(path)).to_pylist()):
-                    if v is not None:
-                        note(i, path, kinds[kind], v)
-                        for k in range(1, len(above) + 1):
-                            note(i, ".".join(above[:k]), "object", None)
-            for i, text in enumerate(b.column("_rescued").to_pylist()):
-                if text is not None:
-                    for path, v in json.loads(text).items():
-                        note(i, path, JSON_KIND[type(v)], v)
-            if seen:
-                rows = list(zip(*seen))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+            files: dict[int, dict[str, list]] = {}  # once per batch: the partial step before the shuffle
+            head: dict[int, tuple] = {}
+            for fid, machine, at, text in zip(*(b.column(n).to_pylist() for n in ("file_id", "machine", "exported_at", "raw"))):
+                obj = parse(text)
+                if type(obj) is not dict:
+                    continue
+                fields = files.get(fid)
+                if fields is None:
+                    fields, head[fid] = files.setdefault(fid, {}), (machine, at)
+                got, rest, origin = place(obj, target, approved)
+                for path, v in got.items():
+                    own = origin.get(path, path)
+                    f = fields.get(own) or fields.setdefault(own, [0, set()])
+                    f[0] |= KINDS[type(v)]
+                    if type(v) is str:
+                        f[1].add(v)
+                    # The objects that a typed member stands in are seen by it alone.
+                    for up in above[path] if own == path else ():
+                        if up not in fields:
+                            fields[up] = [OBJECT, set()]
+                        else:
+                            fields[up][0] |= OBJECT
+                for path, v in rest.items():
+                    f = fields.get(path) or fields.setdefault(path, [0, set()])
+                    f[0] |= KINDS[type(v)]
+                    if type(v) is str:
+                        f[1].add(v)
+            rows = [(fid, None, 0, None, *head[fid]) for fid in files]
+            for fid, fields in files.items():
+                rows += [(fid, clean(p), k, [_hash(v) for v in s] if k == STRING else None, None, None) for p, (k, s) in fields.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
-def fields_of_files(ingested: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
-    """``file_id, path, kinds, n_values, values_hash``: what each file with a readable line holds.
+def _hash(v: str) -> int:
+    return xxhash.xxh3_64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    Each such file has a row of path ``FILE`` too.
 
-    Rows are first made distinct per batch, then per (file, path, kind,
-    value), both before any group is formed, so a file that holds most lines
-    isn't gathered in one task. Value sets are compared by their size and
-    the sum of 128-bit hashes of the distinct values (null for fields that
-    aren't strings only).
+def fields_seen(lines: DataFrame, target: dict[str, str] | None = None, approved: dict[str, str] | None = None) -> DataFrame:
+    """``file_id, path, kinds, strings, machine, exported_at``: what each batch of lines saw of each field.
+
+    ``kinds`` is the union of the types' bits, ``strings`` the hashes of the
+    distinct values of a field that held strings only. A row with a null path
+    stands for the file itself. A batch bounds every array.
     """
-    target = TARGET if target is None else target
-    seen = ingested.filter("_readable").select("file_id", *[column_of(p) for p in target], "_rescued").mapInArrow(_observe(target), "file_id bigint, path string, kind string, value bigint, value2 bigint").distinct()
-    per = seen.groupBy("file_id", "path").agg(
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.count("*").alias("n_values"),
-        # Sums in decimal: no overflow.
-        F.concat_ws(":", F.sum(F.col("value").cast("decimal(20,0)")), F.sum(F.col("value2").cast("decimal(20,0)"))).alias("values_hash"),
-    )
-    only = F.col("kinds") == F.array(F.lit("string"))
-    return per.select("file_id", "path", "kinds", F.when(only, F.col("n_values")).alias("n_values"), F.when(only, F.col("values_hash")).alias("values_hash"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    src = lines.select("file_id", "machine", "exported_at", "raw")
+    at = src.schema["exported_at"].dataType
+    run = _observe(to_arrow_type(at), TARGET if target is None else target, APPROVED if approved is None else approved)
+    return src.mapInArrow(run, f"file_id bigint, path string, kinds int, strings array<bigint>, machine string, exported_at {at.simpleString()}")
 
 
 def bare(path: Column) -> Column:
@@ -199,61 +219,72 @@ def above(path: Column) -> Column:
     return F.when(path.contains("."), F.regexp_replace(path, r"\.[^.]*$", "")).otherwise("")
 
 
-def changes(files: DataFrame, fields: DataFrame) -> DataFrame:
+def changes(seen: DataFrame) -> DataFrame:
     """``file_id, change, old_field, new_field`` of each file against the one before.
 
-    ``files``: file_id, machine, exported_at of the files with a readable
-    line (once each). Ties in ``exported_at`` go by file_id. A machine's
-    first file has no row.
+    ``seen``: a written result of :func:`fields_seen`. Files without a
+    readable line aren't there. Ties in ``exported_at`` go by file_id. A
+    machine's first file has no row. A machine may have any number of files,
+    and a file any number of lines, fields and values.
     """
-    w = Window.partitionBy("machine").orderBy("exported_at", "file_id")
-    pairs = files.select("file_id", F.lag("file_id").over(w).alias("before")).filter("before is not null")
-    cur = pairs.join(fields, "file_id").select("file_id", "path", F.struct("kinds", "n_values", "values_hash").alias("new"))
-    old = pairs.join(fields.withColumnRenamed("file_id", "before"), "before").select("file_id", "path", F.struct("kinds", "n_values", "values_hash").alias("old"))
-    # A field row per file and side meets in one aggregation, no outer join.
+    files = seen.filter("path is null").groupBy("file_id").agg(F.min("machine").alias("machine"), F.min("exported_at").alias("exported_at"))
+    files = with_neighbours(files, "machine", ["exported_at", "file_id"], before={"file_id": "before"}, after={"file_id": "next"}).select("file_id", "before", "next")
+    fields = seen.filter("path is not null").groupBy("file_id", "path").agg(F.bit_or("kinds").alias("kinds"))
+    # A field counts as new for its own file and as old for the next one; both sides meet in one aggregation.
+    sides = F.array(F.struct(F.when(F.col("before").isNotNull(), F.col("file_id")).alias("at"), F.lit(True).alias("is_new")), F.struct(F.col("next").alias("at"), F.lit(False).alias("is_new")))
     both = (
-        cur.select("file_id", "path", "new", F.lit(None).cast(old.schema["old"].dataType).alias("old"))
-        .unionByName(old.select("file_id", "path", F.lit(None).cast(cur.schema["new"].dataType).alias("new"), "old"))
-        .groupBy("file_id", "path").agg(F.max("new").alias("new"), F.max("old").alias("old"))
+        fields.join(files, "file_id").select("path", "kinds", F.col("file_id").alias("src"), F.explode(sides).alias("x")).filter("x.at is not null")
+        .groupBy(F.col("x.at").alias("file_id"), "path")
+        .agg(F.max(F.when(F.col("x.is_new"), F.col("kinds"))).alias("new"), F.max(F.when(~F.col("x.is_new"), F.col("kinds"))).alias("old"), F.max("src").alias("src"))
     )
     # Read by every rule below, so written once.
-    both = materialize(both)
-    retyped = both.filter(F.col("new.kinds") != F.col("old.kinds")).select("file_id", F.lit("retyped").alias("change"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
+    both = materialize(both.filter("new is null or old is null or new != old"))
+    retyped = both.filter("new != old").select("file_id", F.lit("retyped").alias("change"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
     single = both.filter("new is null or old is null").select(
-        "file_id", "path", F.col("new").isNotNull().alias("is_new"), F.coalesce("new", "old").alias("f"), above(F.col("path")).alias("parent"), bare(F.col("path")).alias("bare"),
+        "file_id", "path", F.col("new").isNotNull().alias("is_new"), F.coalesce("new", "old").alias("kinds"), "src", above(F.col("path")).alias("parent"), bare(F.col("path")).alias("bare"),
     )
-    return retyped.unionByName(_paired(single))
+    return retyped.unionByName(_paired(single, seen))
 
 
-def _paired(single: DataFrame) -> DataFrame:
+def _paired(single: DataFrame, seen: DataFrame) -> DataFrame:
     """Renames by equal bare names, then by equal value sets, in alphabetical order; the rest is removed or added."""
-    rows = single.select("file_id", "path", "is_new", "parent", "bare", F.concat_ws(",", "f.kinds").alias("kinds"), F.when(F.col("f.n_values").isNotNull(), F.concat_ws("|", F.col("f.n_values").cast("string"), "f.values_hash")).alias("vals"))
 
     def match(df: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy("file_id", "is_new", *keys).orderBy("path")
-        return df.withColumn("rank", F.row_number().over(w)).groupBy("file_id", *keys, "rank").agg(F.max(F.when(F.col("is_new"), F.struct("path", "parent", "kinds", "vals", "bare"))).alias("n"), F.max(F.when(~F.col("is_new"), F.struct("path", "parent", "kinds", "vals", "bare"))).alias("o"))
-
-    first = materialize(match(rows, ["parent", "kinds", "bare"]).select("file_id", "n", "o"))
-    by_name = first.filter("n is not null and o is not null").select("file_id", F.col("o.path").alias("old_field"), F.col("n.path").alias("new_field"))
-    rest = first.filter("n is null or o is null").select("file_id", F.coalesce("n", "o").alias("x"), F.col("n").isNotNull().alias("is_new")).select("file_id", "is_new", "x.*")
-    second = match(rest.filter("vals is not null"), ["parent", "kinds", "vals"]).select("file_id", "n", "o")
-    by_value = second.filter("n is not null and o is not null").select("file_id", F.col("o.path").alias("old_field"), F.col("n.path").alias("new_field"))
-    alone = second.filter("n is null or o is null").select("file_id", F.coalesce("o.path", F.lit("")).alias("old_field"), F.coalesce("n.path", F.lit("")).alias("new_field")).unionByName(
-        rest.filter("vals is null").select("file_id", F.when(F.col("is_new"), "").otherwise(F.col("path")).alias("old_field"), F.when(F.col("is_new"), F.col("path")).otherwise("").alias("new_field"))
+        kept = F.struct("path", "parent", "kinds", "src")
+        ranked = df.withColumn("rank", F.row_number().over(w)).groupBy("file_id", *keys, "rank")
+        return ranked.agg(F.max(F.when(F.col("is_new"), kept)).alias("n"), F.max(F.when(~F.col("is_new"), kept)).alias("o")).select("file_id", "n", "o")
+
+    def met(df: DataFrame) -> DataFrame:
+        return df.filter("n is not null and o is not null").select("file_id", F.lit("renamed").alias("change"), F.col("o.path").alias("old_field"), F.col("n.path").alias("new_field"))
+
+    def alone(df: DataFrame) -> DataFrame:
+        return df.filter("n is null or o is null").select("file_id", F.coalesce("n", "o").alias("x"), F.col("n").isNotNull().alias("is_new")).select("file_id", "is_new", "x.*")
+
+    first = materialize(match(single, ["parent", "kinds", "bare"]))
+    rest = alone(first)
+    # Only strings that have a counterpart under the same parent can be a rename by value.
+    of_string = F.col("kinds") == STRING
+    two = rest.filter(of_string).groupBy("file_id", "parent").agg(F.max("is_new").alias("a"), F.max(~F.col("is_new")).alias("b")).filter("a and b").select("file_id", "parent")
+    asked = rest.filter(of_string).join(two, ["file_id", "parent"])
+    values = seen.filter("path is not null").join(asked.select(F.col("src").alias("file_id"), "path").distinct(), ["file_id", "path"]).select("file_id", "path", F.explode("strings").alias("h")).distinct()
+    # A value set is compared by its size and two sums of hashes; in decimal, so without overflow.
+    total = lambda c: F.sum(c.cast("decimal(20,0)"))
+    sets = values.groupBy("file_id", "path").agg(F.concat_ws(":", F.count("*"), total(F.col("h")), total(F.xxhash64("h"))).alias("vals")).withColumnRenamed("file_id", "src")
+    second = materialize(match(asked.join(sets, ["src", "path"]), ["parent", "vals"]))
+    lone = alone(second).unionByName(rest.filter(~of_string).unionByName(rest.filter(of_string).join(two, ["file_id", "parent"], "left_anti").select(*rest.columns)))
+    told = lone.select(
+        "file_id", F.when(F.col("is_new"), "added").otherwise("removed").alias("change"),
+        F.when(F.col("is_new"), "").otherwise(F.col("path")).alias("old_field"), F.when(F.col("is_new"), F.col("path")).otherwise("").alias("new_field"),
     )
-    named = by_name.unionByName(by_value).withColumn("change", F.lit("renamed"))
-    return named.unionByName(alone.withColumn("change", F.when(F.col("old_field") == "", "added").otherwise("removed"))).select("file_id", "change", "old_field", "new_field")
+    return met(first).unionByName(met(second)).unionByName(told)
 
 
-def drift(lines: DataFrame, target: dict[str, str] | None = None) -> DataFrame:
+def drift(lines: DataFrame, target: dict[str, str] | None = None, approved: dict[str, str] | None = None) -> DataFrame:
     """All changes between consecutive files of each machine (see :func:`changes`).
 
     ``lines``: file_id, machine, exported_at, raw; other columns are not
     read. Lines whose raw text is null, empty or no JSON object count for
     nothing; a null ``machine`` or ``file_id`` is left out.
     """
-    table = ingest(lines.filter("file_id is not null and machine is not null"), "raw", ["file_id", "machine", "exported_at"], target)
-    fields = materialize(fields_of_files(table, target))
-    heads = lines.filter("file_id is not null and machine is not null").groupBy("file_id").agg(F.min("machine").alias("machine"), F.min("exported_at").alias("exported_at"))
-    files = heads.join(fields.filter(F.col("path") == FILE).select("file_id"), "file_id")
-    return changes(files, fields.filter(F.col("path") != FILE))
+    return changes(materialize(fields_seen(lines.filter("file_id is not null and machine is not null"), target, approved)))

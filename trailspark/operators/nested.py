@@ -1,16 +1,18 @@
 """Deeply nested JSON to flat tables of nodes.
 
 A node is a JSON object that is an element of an array. A bottom-up tree
-automaton walks each value once: the state of an object is given by its keys
-and the states of their values (arrays: the set of their elements' states),
-so equal shapes get equal states. Each node row keeps what all variants
-share (source, record, path, parent path, kind, shape); ``variant_table``
-routes the nodes of one kind to a table with typed columns.
+automaton walks each value once: the state of an object is given by its
+label, its keys and the states of their values (arrays: the set of their
+elements' states), so equal shapes get equal states. The label of a node is
+its member ``type`` if that is a string, else the key that holds its array;
+it is part of the state, so each accepting state stands for one variant, and
+the state alone routes a node: to its kind, and to the typed subtype table
+of that kind (:func:`variant_table`). All variants keep the same keys:
+source, record, path, parent path, kind and shape.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,52 +20,66 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import Number, clean, dump, parse
+
 NODE_SCHEMA = "src string, row_id string, path string, parent_path string, kind string, shape string"
 #: Rows of one yielded batch.
 OUT_ROWS = 20_000
+#: States that a worker remembers.
+MEMO = 100_000
 
 
 class Automaton:
-    """States of the shapes seen; a state is a 64-bit hash, so workers agree."""
+    """Transitions seen so far; a state is a 64-bit hash, so workers agree."""
 
     def __init__(self) -> None:
         self.known: dict[tuple, str] = {}
+        #: Accepting states: kind and members of the variant.
+        self.variants: dict[str, tuple[str, tuple]] = {}
+
+    def forget(self) -> None:
+        """Between documents: what is remembered stays bounded."""
+        if len(self.known) > MEMO:
+            self.known.clear()
+            self.variants.clear()
 
     def of(self, key: tuple) -> str:
         s = self.known.get(key)
         if s is None:
-            if len(self.known) > 100_000:  # only a memo
-                self.known.clear()
             s = self.known[key] = xxhash.xxh64_hexdigest(repr(key))
+            if key[0] == "node":
+                self.variants[s] = (key[1], key[2:])
         return s
 
 
-SCALARS = {str: "s", bool: "b", int: "n", float: "n", type(None): "0"}
+SCALARS = {str: "s", bool: "b", int: "n", float: "n", Number: "n", type(None): "0"}
 
 
-def walk(value, top_key: str, auto: Automaton, values: bool) -> list[tuple]:
-    """``(path, parent_path, kind, shape, json)`` of each node in document order.
+def walk(value, top_key: str, auto: Automaton, root_is_node: bool = False) -> list[tuple]:
+    """``(path, parent_path, state, value)`` of each node in document order.
 
-    Works with an own stack, so depth is bounded by the parser only.
+    Works with an own stack, so depth isn't bounded. With ``root_is_node``
+    the value itself is a node too, of path and label ``top_key``.
     """
     out: list[list] = []
-    # A frame: value, path, key of the nearest array or member, enclosing node's path, slot of its result in the frame above.
     results: list = [None]
-    stack = [(value, "", top_key, "", results, 0, False)]
+    # A frame: value, path, key of the nearest array or member, enclosing node's path, slot of its state in the frame above, is a node.
+    stack = [(value, top_key if root_is_node else "", top_key, "", results, 0, root_is_node)]
     done: list[tuple] = []
     while stack:
         v, path, key, node, into, slot, element = stack.pop()
         t = type(v)
         if t is dict:
-            kind = None
-            here = node
+            row, label, here = None, None, node
             if element:
-                kind = v.get("type")
-                row = [path, node, kind if type(kind) is str else key, None, v if values else None]
+                label = v.get("type")
+                if type(label) is not str:
+                    label = key
+                row = [path, node, None, v]
                 out.append(row)
                 here = path
             subs: list = [None] * len(v)
-            done.append((into, slot, tuple(v), subs, row if element else None))
+            done.append((into, slot, tuple(v), subs, row, label))
             items = list(v.items())
             for i in range(len(items) - 1, -1, -1):
                 k, x = items[i]
@@ -74,7 +90,7 @@ def walk(value, top_key: str, auto: Automaton, values: bool) -> list[tuple]:
                     subs[i] = SCALARS[tx]
         elif t is list:
             subs = [None] * len(v)
-            done.append((into, slot, None, subs, None))
+            done.append((into, slot, None, subs, None, None))
             for i in range(len(v) - 1, -1, -1):
                 x = v[i]
                 tx = type(x)
@@ -82,83 +98,103 @@ def walk(value, top_key: str, auto: Automaton, values: bool) -> list[tuple]:
                     stack.append((x, f"{path}.{i}" if path else str(i), key, node, subs, i, True))
                 else:
                     subs[i] = SCALARS[tx]
-    for into, slot, keys, subs, row in reversed(done):  # children before parents
+    for into, slot, keys, subs, row, label in reversed(done):  # children before parents
         if keys is None:
-            state = auto.of(("a", *sorted(set(subs))))
+            state = auto.of(("array", *sorted(set(subs))))
+        elif row is None:
+            state = auto.of(("object", *sorted(zip(keys, subs))))
         else:
-            state = auto.of(("o", *sorted(zip(keys, subs))))
+            state = row[2] = auto.of(("node", label, *sorted(zip(keys, subs))))
         into[slot] = state
-        if row is not None:
-            row[3] = state
     return out
 
 
-def parse(text: str | None):
-    """The JSON value of a text, or None when it can't be read (too deep a nesting included)."""
-    if text is None:
-        return None
-    try:
-        return json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return None
-
-
-def _refuse(name: str):
-    raise ValueError(name)
+def _walked(batches: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[tuple]:
+    """``src, row_id`` and the walk of each document and of each usage."""
+    for b in batches:
+        for src, row_id, top, doc, usage in zip(*(b.column(n).to_pylist() for n in ("src", "row_id", "top_key", "doc", "usage"))):
+            auto.forget()
+            v = parse(doc)
+            if type(v) is dict or type(v) is list:
+                yield src, row_id, walk(v, top, auto)
+            if usage is not None:
+                yield src, row_id, walk(parse(usage) or {}, "usage", auto, True)
 
 
-def _clean(s: str) -> str:
-    return s.encode("utf-8", "replace").decode("utf-8") if not s.isascii() else s
-
-
-def _nodes(values: bool):
-    fields = [pa.field(n, pa.string()) for n in ("src", "row_id", "path", "parent_path", "kind", "shape")]
-    if values:
-        fields.append(pa.field("value", pa.string()))
-    schema = pa.schema(fields)
+def _nodes(values: bool, only: frozenset | None):
+    names = ["src", "row_id", "path", "parent_path", "kind", "shape"] + ["value"] * values
+    schema = pa.schema([pa.field(n, pa.string()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = Automaton()
-        usage_shape = auto.of(("usage",))
-        cols: list[list] = [[] for _ in fields]
+        cols: list[list] = [[] for _ in names]
         put = [c.append for c in cols]
-        for b in batches:
-            for src, row_id, top, doc, usage in zip(*(b.column(n).to_pylist() for n in ("src", "row_id", "top_key", "doc", "usage"))):
-                v = parse(doc)
-                if type(v) is dict or type(v) is list:
-                    for path, parent, kind, shape, val in walk(v, top, auto, values):
-                        put[0](src), put[1](row_id), put[2](_clean(path)), put[3](_clean(parent)), put[4](_clean(kind)), put[5](shape)
-                        if values:
-                            put[6](_clean(json.dumps(val, ensure_ascii=False)))
-                if usage is not None:
-                    put[0](src), put[1](row_id), put[2]("usage"), put[3](""), put[4]("usage"), put[5](usage_shape)
-                    if values:
-                        put[6](usage)
-                if len(cols[0]) >= OUT_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=schema)
-                    for c in cols:
-                        c.clear()
+        for src, row_id, found in _walked(batches, auto):
+            for path, parent, state, value in found:
+                # The state routes the node.
+                kind = auto.variants[state][0]
+                if only is not None and kind not in only:
+                    continue
+                put[0](src), put[1](row_id), put[2](clean(path)), put[3](clean(parent)), put[4](clean(kind)), put[5](state)
+                if values:
+                    put[6](clean(dump(value)))
+            if len(cols[0]) >= OUT_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=schema)
+                for c in cols:
+                    c.clear()
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=schema)
 
     return run
 
 
-def nodes(docs: DataFrame, values: bool = False) -> DataFrame:
+def nodes(docs: DataFrame, values: bool = False, only: list[str] | None = None) -> DataFrame:
     """Node rows of ``docs(src, row_id, top_key, doc, usage)``.
 
-    ``doc`` is JSON text (null or unreadable: no nodes), ``usage`` JSON text
-    of a struct that is itself a node (null: none), ``top_key`` the kind of
-    untyped elements of the top array. One row per node; ``parent_path`` is
-    the nearest enclosing node's path, ``''`` for none; ``kind`` is the
-    string member ``type``, else the key that holds the array. Text inside
-    strings isn't opened. With ``values`` the node's JSON is kept, for
-    ``variant_table``. Rows aren't shuffled.
+    ``doc`` is JSON text (null or unreadable: no nodes; any depth and any
+    length of number is read), ``usage`` JSON text of an object that is
+    itself a node (null: none), ``top_key`` the kind of untyped elements of
+    the top array. One row per node; ``parent_path`` is the nearest enclosing
+    node's path, ``''`` for none; ``kind`` is that of the variant its state
+    stands for. Text inside strings isn't opened. With ``values`` the node's
+    JSON is kept; ``only`` keeps the variants of these kinds. Rows aren't
+    shuffled.
     """
-    return docs.select("src", "row_id", "top_key", "doc", "usage").mapInArrow(_nodes(values), NODE_SCHEMA + ", value string" * values)
+    return docs.select("src", "row_id", "top_key", "doc", "usage").mapInArrow(_nodes(values, None if only is None else frozenset(only)), NODE_SCHEMA + ", value string" * values)
+
+
+def variants(docs: DataFrame) -> DataFrame:
+    """``src, kind, shape, members, nodes``: the accepting states of the automaton, with their members and number of nodes.
+
+    ``members`` lists key and type (s string, n number, b boolean, 0 null,
+    o object or array). Counted in the workers before the shuffle.
+    """
+    schema = pa.schema([("src", pa.string()), ("kind", pa.string()), ("shape", pa.string()), ("members", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        auto = Automaton()
+        n: dict[tuple, int] = {}
+
+        def batch():
+            rows = list(zip(*((clean(src or ""), clean(k), s, clean(m), c) for (src, k, s, m), c in n.items())))
+            n.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+
+        for src, _, found in _walked(batches, auto):
+            for _, _, state, value in found:
+                kind, members = auto.variants[state]
+                key = (src, kind, state, ",".join(f"{k}:{s if len(s) == 1 else 'o'}" for k, s in members))
+                n[key] = n.get(key, 0) + 1
+            if len(n) >= OUT_ROWS:
+                yield batch()
+        if n:
+            yield batch()
+
+    seen = docs.select("src", "row_id", "top_key", "doc", "usage").mapInArrow(run, "src string, kind string, shape string, members string, n bigint")
+    return seen.groupBy("src", "kind", "shape", "members").agg(F.sum("n").alias("nodes"))
 
 
-def record_docs(records: DataFrame, usage_json: bool = False) -> DataFrame:
+def record_docs(records: DataFrame) -> DataFrame:
     """The latest version of each record as input of :func:`nodes`.
 
     Content that is a plain JSON string holds no node and isn't shuffled.
@@ -167,7 +203,7 @@ def record_docs(records: DataFrame, usage_json: bool = False) -> DataFrame:
     rows = records.select(
         F.lower("uuid").alias("uuid"), "line_no",
         F.when(F.ltrim(content).rlike(r"^\s*[\[{]"), content).alias("doc"),
-        F.when(F.col("message.usage").isNotNull(), F.to_json("message.usage") if usage_json else F.lit("")).alias("usage"),
+        F.when(F.col("message.usage").isNotNull(), F.to_json("message.usage")).alias("usage"),
     )
     from .records import latest
 
@@ -181,14 +217,15 @@ def line_docs(lines: DataFrame) -> DataFrame:
     return rows.select(F.lit("codex").alias("src"), F.col("line_id").cast("string").alias("row_id"), F.lit("content").alias("top_key"), "doc", F.lit(None).cast("string").alias("usage"))
 
 
-def variant_table(nodes_with_values: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
-    """The typed subtype table of one kind: shared keys and a column per field.
+def variant_table(docs: DataFrame, kinds: list[str], fields: dict[str, str]) -> DataFrame:
+    """The typed subtype table of the variants of some kinds: shared keys and a column per field.
 
-    ``fields`` names a member path (``$.a.b`` without ``$.``) and its Spark
-    type; a missing or uncastable member is null. Clashing names get a
-    trailing underscore.
+    The automaton's states choose the nodes in the workers, so no other node
+    leaves them. ``fields`` names a member path (``$.a.b`` without ``$.``)
+    and its Spark type; a missing or uncastable member is null. Clashing
+    names get a trailing underscore.
     """
     v: Column = F.try_parse_json("value")
-    shared = ["src", "row_id", "path", "parent_path", "shape"]
-    cols = [F.try_variant_get(v, f"$.{path}", kind_).alias((n := path.replace(".", "_")) + ("_" if n in shared else "")) for path, kind_ in fields.items()]
-    return nodes_with_values.filter(F.col("kind") == kind).select(*shared, *cols)
+    shared = ["src", "row_id", "path", "parent_path", "kind", "shape"]
+    cols = [F.try_variant_get(v, f"$.{path}", kind).alias((n := path.replace(".", "_")) + ("_" if n in shared else "")) for path, kind in fields.items()]
+    return nodes(docs, values=True, only=kinds).select(*shared, *cols)

@@ -32,27 +32,38 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.closure(_tree(spark, folder, True))
 
 
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """The nested values of both sources."""
+    return nested.record_docs(table(spark, folder, "claude_records")).unionByName(nested.line_docs(table(spark, folder, "codex_lines")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = nested.record_docs(table(spark, folder, "claude_records")).unionByName(nested.line_docs(table(spark, folder, "codex_lines")))
-    return nested.nodes(docs).select("src", "row_id", "path", "parent_path", "kind")
+    return nested.nodes(_docs(spark, folder)).select("src", "row_id", "path", "parent_path", "kind")
 
 
 def p5_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    """How many nodes and records each kind has, and in how many shapes."""
-    docs = nested.record_docs(table(spark, folder, "claude_records")).unionByName(nested.line_docs(table(spark, folder, "codex_lines")))
-    return nested.nodes(docs).groupBy("src", "kind").agg(F.count("*").alias("nodes"), F.count_distinct("row_id").alias("rows"), F.count_distinct("shape").alias("shapes"))
+    """The variants that the automaton accepts, with their members and number of nodes."""
+    return nested.variants(_docs(spark, folder))
+
+
+def p5_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many nodes and different member lists each kind has."""
+    return p5_shapes(spark, folder).groupBy("src", "kind").agg(F.sum("nodes").alias("nodes"))
 
 
 def p5_tool_use(spark: SparkSession, folder: str) -> DataFrame:
     """The typed table of tool calls, linked to record and parent node."""
-    docs = nested.record_docs(table(spark, folder, "claude_records"), usage_json=True)
-    return nested.variant_table(nested.nodes(docs, values=True), "tool_use", {"id": "string", "name": "string", "input.command": "string", "input.file_path": "string"}).drop("shape")
+    return nested.variant_table(_docs(spark, folder), ["tool_use"], {"id": "string", "name": "string", "input.command": "string", "input.file_path": "string"}).drop("shape", "kind")
 
 
 def p5_usage(spark: SparkSession, folder: str) -> DataFrame:
     """The typed table of token usage."""
-    docs = nested.record_docs(table(spark, folder, "claude_records"), usage_json=True)
-    return nested.variant_table(nested.nodes(docs, values=True), "usage", {"input_tokens": "bigint", "output_tokens": "bigint", "cache_creation_input_tokens": "bigint", "cache_read_input_tokens": "bigint"}).drop("shape")
+    return nested.variant_table(_docs(spark, folder), ["usage"], {"input_tokens": "bigint", "output_tokens": "bigint", "cache_creation_input_tokens": "bigint", "cache_read_input_tokens": "bigint"}).drop("shape", "kind")
+
+
+def p5_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed table of changed files, hunks and lines of patches, each linked to the node it lies in."""
+    return nested.variant_table(_docs(spark, folder), ["files", "hunks", "lines"], {"path": "string", "start": "bigint", "op": "string", "s": "string"}).drop("shape")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,12 +71,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines in one table, with session ids of either spelling replayed into one column."""
-    got = drift.ingest(table(spark, folder, "raw_lines"), "raw", ["file_id", "line_no"])
-    return drift.promote(got, {"session_id": ("sessionId", "string"), "is_meta": ("isMeta", "boolean"), "parent_uuid": ("parentUuid", "string")})
+    """All lines in one table, approved fields promoted; of what stays rescued, how many fields."""
+    got = drift.ingest(table(spark, folder, "raw_lines"), "raw", ["file_id", "line_no"], approved=drift.APPROVED)
+    left = F.coalesce(F.size(F.json_object_keys("_rescued")), F.lit(0))
+    return got.withColumns({"rescued": left, "promoted": F.coalesce(F.size(F.json_object_keys("_promoted")), F.lit(0))}).drop("_rescued", "_promoted").withColumnRenamed("_readable", "readable")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p5_found, p5_shapes, p5_tool_use, p5_usage, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p5_found, p5_shapes, p5_kinds, p5_tool_use, p5_usage, p5_changes, p7_found, p7_table)}
 
 _RECORDS = """rec AS (SELECT lower(uuid) AS uuid, nullif(lower(parentUuid), '') AS p FROM claude_records WHERE uuid IS NOT NULL
  QUALIFY row_number() OVER (PARTITION BY lower(uuid) ORDER BY line_no DESC) = 1),
@@ -101,6 +113,14 @@ SELECT src, row_id, path, at_node AS parent_path, CASE WHEN json_type(value, '$.
 UNION ALL SELECT 'claude', uuid, 'usage', '', 'usage' FROM rec WHERE usage IS NOT NULL""",
 }
 SQL["p5_found"] = SQL["p5_found"].replace("WITH rec", "WITH RECURSIVE rec", 1)
+_WALK, _, _NODES = SQL["p5_found"].partition("\nSELECT src, row_id, path, at_node")
+_NODES = "node AS (SELECT src, row_id, path, at_node" + _NODES.replace("FROM walk", ", value FROM walk").replace("'', 'usage' FROM rec", "'', 'usage', NULL FROM rec") + ")"
+_STR = "CASE WHEN json_type(value, '$.{0}') = 'VARCHAR' THEN value ->> '$.{0}' WHEN json_type(value, '$.{0}') <> 'NULL' THEN CAST(json_extract(value, '$.{0}') AS VARCHAR) END"
+SQL["p5_kinds"] = _WALK + ",\n" + _NODES + "\nSELECT src, kind, count(*) AS nodes FROM node GROUP BY ALL"
+SQL["p5_tool_use"] = _WALK + ",\n" + _NODES + f"""\nSELECT src, row_id, path, parent_path, {_STR.format('id')} AS id, {_STR.format('name')} AS name, {_STR.format('input.command')} AS input_command, {_STR.format('input.file_path')} AS input_file_path
+FROM node WHERE kind = 'tool_use'"""
+SQL["p5_changes"] = _WALK + ",\n" + _NODES + f"""\nSELECT src, row_id, path, parent_path, kind, {_STR.format('path')} AS path_, try_cast(value ->> '$.start' AS BIGINT) AS start, {_STR.format('op')} AS op, {_STR.format('s')} AS s
+FROM node WHERE kind IN ('files', 'hunks', 'lines')"""
 SQL["p5_usage"] = """SELECT 'claude' AS src, lower(uuid) AS row_id, 'usage' AS path, '' AS parent_path, message.usage.input_tokens AS input_tokens, message.usage.output_tokens AS output_tokens,
  message.usage.cache_creation_input_tokens AS cache_creation_input_tokens, message.usage.cache_read_input_tokens AS cache_read_input_tokens
 FROM (SELECT * FROM claude_records WHERE uuid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(uuid) ORDER BY line_no DESC) = 1) WHERE message.usage IS NOT NULL"""
@@ -123,3 +143,30 @@ SELECT n.file_id, 'retyped' AS change, n.path AS old_field, n.path AS new_field
 UNION ALL SELECT file_id, 'renamed', old_field, new_field FROM m
 UNION ALL SELECT s.file_id, 'removed', path, '' FROM s LEFT JOIN m ON m.file_id = s.file_id AND m.old_field = s.path WHERE NOT is_new AND m.file_id IS NULL
 UNION ALL SELECT s.file_id, 'added', '', path FROM s LEFT JOIN m ON m.file_id = s.file_id AND m.new_field = s.path WHERE is_new AND m.file_id IS NULL"""
+
+
+def _typed(path: str, kind: str) -> str:
+    """SQL for the value of a target path if it is of the column's type."""
+    at = "$." + ".".join(f'"{p}"' for p in path.split("."))
+    if kind == "string":
+        return f"CASE WHEN json_type(o, '{at}') = 'VARCHAR' THEN o ->> '{at}' END"
+    if kind == "boolean":
+        return f"CASE WHEN json_type(o, '{at}') = 'BOOLEAN' THEN CAST(o ->> '{at}' AS BOOLEAN) END"
+    return f"CASE WHEN json_type(o, '{at}') IN ('BIGINT', 'UBIGINT') THEN CAST(o ->> '{at}' AS BIGINT) END"
+
+
+_COLUMNS = {p: (drift.column_of(p), k) for p, k in drift.TARGET.items()}
+_FROM = {to: old for old, to in drift.APPROVED.items()}
+_HELD = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c, _ in _COLUMNS.values())
+SQL["p7_table"] = (
+    "WITH RECURSIVE r AS (SELECT row_number() OVER () AS n, file_id, line_no, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN json(raw) END AS o FROM raw_lines),\n"
+    + "t AS (SELECT n, file_id, line_no, o, o IS NOT NULL AS readable, " + ", ".join(f"{_typed(p, k)} AS {c}" for p, (c, k) in _COLUMNS.items()) + ", "
+    + ", ".join(f"{_typed(_FROM[p], k)} AS old_{c}" for p, (c, k) in _COLUMNS.items() if p in _FROM) + " FROM r),\n"
+    + """w AS (SELECT n, k AS path, json_extract(o, '$."' || k || '"') AS v FROM (SELECT n, o, unnest(json_keys(o)) AS k FROM r WHERE o IS NOT NULL)
+ UNION ALL SELECT n, path || '.' || k, json_extract(v, '$."' || k || '"') FROM (SELECT n, path, v, unnest(json_keys(v)) AS k FROM w WHERE json_type(v) = 'OBJECT')),
+m AS (SELECT n, count(*) AS members FROM w WHERE json_type(v) <> 'NULL' GROUP BY 1),
+u AS (SELECT n, file_id, line_no, readable, """
+    + ", ".join(f"coalesce({c}, old_{c}) AS {c}" if p in _FROM else c for p, (c, _) in _COLUMNS.items())
+    + ", " + " + ".join(f"CAST({c} IS NULL AND old_{c} IS NOT NULL AS INT)" for p, (c, _) in _COLUMNS.items() if p in _FROM) + " AS promoted FROM t)\n"
+    + f"SELECT u.* EXCLUDE (n), CAST(coalesce(members, 0) - ({_HELD}) AS INT) AS rescued FROM u LEFT JOIN m USING (n)"
+)
