@@ -25,6 +25,29 @@ CASES = [
 ]
 
 
+CASES += [
+    ("Use this: ADMIN_PASSWD=rLXOwEGnt8Gn71DC", ["rLXOwEGnt8Gn71DC"]),
+    ("password: correcthorsebattery", ["correcthorsebattery"]),
+    ('password = "sunshine"', ["sunshine"]),
+    ("DB_PASSWORD=hunter", ["hunter"]),
+    ("pin password: 84719265", ["84719265"]),
+    ("curl -u\tbob:river!moon7110 https://x.test", ["river!moon7110"]),
+    ("curl -u=bob:river!moon7110 https://x.test", ["river!moon7110"]),
+    ("A" + "_VERY_LONG_NAME" * 12 + "_PASSWORD=Tulip#field5198", ["Tulip#field5198"]),
+    ("redis://u:" + "Night%23moon4657" * 80 + "@db.test/app", ["Night%23moon4657" * 80]),
+    ("redis://" + "user" * 80 + ":Night%23moon4657@db.test/app", ["Night%23moon4657"]),
+    ("docker login " + "-v " * 200 + "-p violet-gate6571", ["violet-gate6571"]),
+    ("credentials:\n  db:\n    value: Tulip#field5198\n  note: x", []),
+    ("credentials:\n  value: Tulip#field5198\nother:\n  value: Saddle#stone4168", ["Tulip#field5198"]),
+    ("db:\n  password:\n    default: hunter22\n  port: 5432", ["hunter22"]),
+    ("[password]\nvalue = Tulip#field5198\n[other]\nvalue = Saddle#stone4168", ["Tulip#field5198"]),
+    ("[db]\nuser = app\npassword = sunshine\n", ["sunshine"]),
+    ("env:\n- name: DB_PASSWORD\n  value: hunter22\n- name: MODE\n  value: fast77\n", ["hunter22"]),
+    ("db:\n  password: |\n    Maple.stone599\n  port: 1", ["Maple.stone599"]),
+    *[(t, []) for t in ("password = repeated", "password: string", "password: required", "const password = repeated;", "token: render", "secret = worker", "api_token: 4096", "the password: please change it soon", "-p 8080 login page", "password = None")],
+]
+
+
 @pytest.mark.parametrize("text, want", CASES)
 def test_values(text, want):
     assert [text[a:b] for a, b, _ in s.find(text)] == want
@@ -42,6 +65,29 @@ def test_inside_json_and_back(text, want):
     assert clean == {"a": [{"content": expected}], "n": 1}
 
 
+def test_json_names_and_values():
+    doc = '{"env":[{"name":"DB_PASSWORD","value":"hunter22"},{"name":"MODE","value":"fast77"}],"token":{"value":"Ab12cDe9"},"password":"sunshine"}'
+    assert [doc[a:b] for a, b, _ in s.find(doc)] == ["hunter22", "Ab12cDe9", "sunshine"]
+
+
+def test_redacted_configuration_keeps_its_form():
+    doc = {"db": {"password": "hun\"ter\\22", "port": 1}, "list": [{"token": "Ab12cDe9fgh"}, None], "text": "PASSWORD=Tulip#field5198\nMODE=x"}
+    clean = json.loads(s.redact(json.dumps(doc, indent=2)))
+    assert clean == {"db": {"password": s.REDACTED, "port": 1}, "list": [{"token": s.REDACTED}, None], "text": f"PASSWORD={s.REDACTED}\nMODE=x"}
+    ini = "[db]\nuser = app\npassword = 'Tulip#field5198' ; note\n[x]\nport = 1\n"
+    import configparser
+
+    read = configparser.ConfigParser(inline_comment_prefixes=";")
+    read.read_string(s.redact(ini))
+    assert dict(read["db"]) == {"user": "app", "password": "'REDACTED'"} and dict(read["x"]) == {"port": "1"}
+
+
+def test_very_long_texts_end():
+    for text in ("a-" * 200_000 + "PASSWORD=Tulip#field5198", "login " * 50_000 + "PASSWORD=Tulip#field5198", "x=" * 100_000 + "1 PASSWORD=Tulip#field5198", "PASSWORD=Tulip#field5198\n" * 3_000):
+        got = s.find(text)
+        assert got and all(text[a:b] == "Tulip#field5198" for a, b, _ in got)
+
+
 def test_key_paths_of_json():
     doc = '{"db":{"password":"Hunter_22x"},"list":[{"k":"v"}],"token":"plain'
     assert [(p, doc[a:b]) for p, a, b in s.json_strings(doc)] == [("db.password", "Hunter_22x"), ("list.k", "v"), ("token", "plain")]

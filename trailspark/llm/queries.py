@@ -93,8 +93,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """The calls with their credentials replaced."""
-    return secrets.redacted(table(spark, folder, "tool_calls").select("id", "input", "outputPreview"), ["input", "outputPreview"])
+    """All three fields with their credentials replaced."""
+    parts = [(table(spark, folder, "tool_calls"), ["input", "outputPreview"]), (table(spark, folder, "steps"), ["promptText"])]
+    out = [secrets.redacted(t.select("id", *fields), fields).select(F.col("id").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")).select("row_id", "x.*") for t, fields in parts]
+    return out[0].unionByName(out[1])
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
