@@ -51,21 +51,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.nearest(prompt_rows(spark, folder), events, TOLERANCE, TICK).select("uuid", F.col("rid").alias("event_id"))
 
 
-def message_rows(spark: SparkSession, folder: str, words: bool = False) -> DataFrame:
+def message_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Message rows of ``claude_records`` as input of :func:`conversations`.
 
-    What the text decides is worked out before the rows are shuffled.
+    What the text decides is worked out before the rows are shuffled, the
+    hashes of its words included, so no text travels.
     """
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     role = F.lower(rec.trim_all(F.col("message.role")))
     us = micros(F.col("timestamp"))
-    rows = rec.classified(table(spark, folder, "claude_records")).select(
+    can = F.when(F.col("row_class").isin("prompt", "command"), "user").when((F.col("type") == "assistant") & (rec.trim_all(F.col("text")) != ""), "assistant")
+    rows = rec.classified(table(spark, folder, "claude_records")).withColumn("_role", can).select(
         F.lower("uuid").alias("id"), "line_no",
         (F.coalesce(F.col("type").isin("user", "assistant"), F.lit(False)) & no("isSidechain") & no("isMeta") & no("isCompactSummary")).alias("is_message"),
         rec.session_of().alias("channel"), us.alias("us"),
-        F.when(F.col("row_class").isin("prompt", "command"), "user").when((F.col("type") == "assistant") & (rec.trim_all(F.col("text")) != ""), "assistant").alias("role"),
+        F.col("_role").alias("role"), F.when(F.col("_role").isNotNull(), conv.words_of(F.col("text"))).alias("words"), F.lower("parentUuid").alias("parent"),
         (us.isNull() | ~F.col("json_ok") | F.coalesce(role != F.col("type"), F.lit(False))).alias("broken"),
-        *([F.lower("parentUuid").alias("parent"), "text"] if words else []),
     )
     return rec.latest(rows, "id").filter("is_message and channel is not null").drop("is_message")
 
@@ -77,8 +78,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_links(spark: SparkSession, folder: str) -> DataFrame:
     """The likeliest parent turn of each answer row, by time, mention and overlap."""
-    rows = message_rows(spark, folder, words=True).filter("role is not null and us is not null").withColumn("is_user", F.col("role") == "user")
-    got = conv.reply_links(conv.numbered(rows), conv.INTERLEAVED, reach=3)
+    rows = message_rows(spark, folder).filter("role is not null and us is not null").withColumn("is_user", F.col("role") == "user")
+    got = conv.reply_links(conv.numbered(rows), conv.INTERLEAVED)
     return got.select(F.col("channel").alias("session_id"), F.col("id").alias("uuid"), "parent_id", F.round("score", 6).alias("score"))
 
 
@@ -157,4 +158,10 @@ good AS (SELECT session_id FROM m GROUP BY 1 HAVING NOT bool_or(broken)),
 talk AS (SELECT session_id, uuid, r, t, line_no, lag(r) OVER w AS p, lead(r) OVER w AS n FROM m JOIN good USING (session_id) WHERE r IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY t, line_no, uuid)),
 sound AS (SELECT session_id FROM talk GROUP BY 1 HAVING NOT bool_or((r = 'assistant' AND p IS NULL) OR (r = 'user' AND coalesce(n, 'user') = 'user')))
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY t, line_no, uuid) - 1 AS turn, r AS role, uuid FROM talk JOIN sound USING (session_id) WHERE r = 'user' OR p = 'user'""",
+    "p3_links": f"""WITH {_REC.replace("message.role AS role,", "message.role AS role, lower(parentUuid) AS parent,")}, m AS (SELECT *, CASE WHEN is_prompt THEN 'user' WHEN type = 'assistant' AND tx <> '' THEN 'assistant' END AS r FROM msg WHERE type IN ('user', 'assistant') AND NOT aside AND session_id IS NOT NULL AND t IS NOT NULL),
+n AS (SELECT session_id, uuid, r, parent, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2)) AS words, sum(CAST(r = 'user' AS INT)) OVER (PARTITION BY session_id ORDER BY t, line_no, uuid) AS o FROM m WHERE r IS NOT NULL),
+u AS (SELECT session_id, uuid, words, o FROM n WHERE r = 'user'), s AS (SELECT * FROM n WHERE r <> 'user'),
+p AS (SELECT s.session_id, s.uuid, u.uuid AS parent_id, u.o, 0.25 / (s.o - u.o + 1) + CASE WHEN s.parent = u.uuid THEN 2.0 ELSE 0.0 END + len(list_intersect(s.words, u.words)) / greatest(len(s.words), 1) AS score
+ FROM s JOIN u ON s.session_id = u.session_id AND u.o <= s.o AND (u.o > s.o - 3 OR u.uuid = s.parent))
+SELECT s.session_id, s.uuid, b.parent_id, round(b.score, 6) AS score FROM s LEFT JOIN (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY score DESC, o DESC) = 1) b USING (uuid)""",
 }
