@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import records as rec
-from .ordered import running_counts
+from .ordered import joined, numbered
 
 
 def lines(raw: DataFrame) -> DataFrame:
@@ -25,11 +25,12 @@ def in_steps(lines_: DataFrame) -> DataFrame:
     """
     opens = F.col("row_class").isin("prompt", "command")
     said = (F.col("type") == "assistant") & F.col("message").isNotNull()
-    n = running_counts(lines_, "file_path", ["line_no"], {"_opened": opens, "_acted": opens | said})
+    # Only the numbers are shuffled by order; each query joins them to the columns it needs.
+    n = numbered(lines_, "file_path", ["line_no"], {"_opened": opens, "_acted": opens | said})
     first = n.groupBy("file_path").agg(F.max((F.col("_opened") == 0) & (F.col("_acted") > 0)).cast("bigint").alias("_anon"))
-    n = n.join(first.withColumnRenamed("file_path", "_fp"), F.col("file_path") == F.col("_fp"))
+    n = joined(lines_, n.join(first, "file_path"), "file_path", ["line_no"])
     idx = F.when(F.col("_opened") > 0, F.col("_opened") - 1 + F.col("_anon")).when(F.col("_acted") > 0, F.lit(0))
-    return n.withColumn("step_idx", idx).drop("_opened", "_acted", "_anon", "_fp")
+    return n.withColumn("step_idx", idx).drop("_opened", "_acted", "_anon")
 
 
 def steps(rows: DataFrame) -> DataFrame:

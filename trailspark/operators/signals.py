@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.times import micros, week_key
+from ..session import materialize
 from . import records as rec
 from .ordered import with_neighbours
 
@@ -72,13 +73,21 @@ def correction_rates(sig: DataFrame) -> DataFrame:
 def ninetieth(rows: DataFrame, value: str) -> DataFrame:
     """One row ``n, p90``: the value of rank ``floor(n * 0.9)`` (from 0); null if there is none.
 
-    Values are counted first, so no task gathers all rows.
+    Distinct values are counted first and numbered by ranges (see
+    ``ordered``), so no task gathers or sorts all of them.
     """
-    from pyspark.sql import Window
-
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    return run.filter(F.col("upto") > F.floor(F.col("n") * 0.9)).agg(F.max("n").alias("n"), F.min("v").alias("p90"))
+    counts = materialize(rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    parts = materialize(counts.repartitionByRange("v").withColumn("_part", F.spark_partition_id()))
+    # A row per partition: how many values lie in it, and before it.
+    sums = parts.groupBy("_part").agg(F.sum("c").alias("all"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.select(F.col("_part").alias("_p"), "all", F.coalesce(F.sum("all").over(w), F.lit(0)).alias("before"))
+    total = sums.agg(F.sum("all").alias("n"))
+    # Only the partition that the rank falls in is sorted.
+    hit = spans.crossJoin(F.broadcast(total)).filter((F.col("before") <= F.floor(F.col("n") * 0.9)) & (F.col("before") + F.col("all") > F.floor(F.col("n") * 0.9)))
+    inside = parts.join(F.broadcast(hit), F.col("_part") == F.col("_p")).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("_part").orderBy("v")))
+    got = inside.filter(F.col("upto") > F.floor(F.col("n") * 0.9)).agg(F.min("v").alias("p90"))
+    return total.select("n").crossJoin(F.broadcast(got))
 
 
 def subagents_per_session(records: DataFrame, steps: DataFrame) -> DataFrame:

@@ -30,11 +30,14 @@ def build_session(app: str = "trailspark", cores: str = "*", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is
-    made and set as the checkpoint folder of the session.
+    Only where that is unset and the session runs on one machine (tests), a
+    temporary folder is made and set as the checkpoint folder of the session.
+    On a cluster executors couldn't share it, so there it is refused.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="trailspark-")
         spark.sparkContext.setCheckpointDir(known)
         atexit.register(_remove, spark, known)
@@ -60,4 +63,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/trailspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a :func:`materialize` result that nothing will read again, as in the rounds of a loop."""
+    path = getattr(df, "_written", None)
+    if path:
+        _remove(df.sparkSession, path)
