@@ -40,6 +40,20 @@ def test_shortened_lists_hold_the_same(spark):
         assert len(short) < 400 and held(short, 4) == held(q[:400], 4)
 
 
+def test_a_hot_sequence_is_joined_in_a_tree(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [("hot", i, 0, str(i), rng.choice("abcdefgh")) for i in range(6000)] + [(f"s{i}", j, 0, f"{i}-{j}", "abc"[j]) for i in range(5) for j in range(3)]
+    monkeypatch.setattr(s, "FAN", 2)
+    ev = spark.createDataFrame(rows, KIND).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.seq_id: r for r in s.sequences(ev, 3).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got["hot"].us == 0 and len(got["hot"].names) < 300 and held(got["hot"].names, 3) == held([r[4] for r in rows[:6000]], 3)
+    assert all(got[f"s{i}"].names == ["a", "b", "c"] for i in range(5))
+
+
 def test_blocks_ties_nulls_and_order(spark):
     rows = []
     for i in range(40):

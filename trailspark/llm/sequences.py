@@ -21,6 +21,7 @@ from math import ceil
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,35 +155,73 @@ def shorten(names: list[str], longest: int) -> list[str]:
 
 
 def _runs(longest: int):
-    kind = pa.schema([("seq_id", pa.string()), ("us", pa.int64()), ("pos", pa.int64()), ("id", pa.string()), ("names", pa.list_(pa.string()))])
+    kind = pa.schema([("seq_id", pa.string()), ("part", pa.int64()), ("us", pa.int64()), ("names", pa.list_(pa.string()))])
 
     def run(batches):
+        part = TaskContext.get().partitionId()
+        open_: list = []  # the sequence that the last batch ended in: id, first time, names
+
+        def rows(done):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(i, part, t, n) for i, t, n in done]), kind)], schema=kind)
+
         for b in batches:
-            ids, us, pos, key, names = (b.column(c).to_pylist() for c in ("seq_id", "us", "pos", "id", "name"))
-            out, start = [], 0
+            ids, us, names = (b.column(c).to_pylist() for c in ("seq_id", "us", "name"))
+            done, start = [], 0
             for i in range(1, len(ids) + 1):
                 if i == len(ids) or ids[i] != ids[start]:
-                    out.append((ids[start], us[start], pos[start], key[start], shorten(names[start:i], longest)))
+                    if open_ and open_[0] == ids[start]:
+                        # A list that was shortened is so again with what follows: it never grows with the run.
+                        open_[2] = shorten(open_[2] + names[start:i], longest)
+                    else:
+                        if open_:
+                            done.append(open_)
+                        open_ = [ids[start], us[start], shorten(names[start:i], longest)]
                     start = i
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+            if done:
+                yield rows(done)
+        if open_:
+            yield rows([open_])
 
     return run
 
 
+def _merged(longest: int):
+    """Shortens the joined lists of an aggregation."""
+
+    def run(batches):
+        for b in batches:
+            names = [shorten(x, longest) for x in b.column("names").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "names"), pa.array(names, pa.list_(pa.string()))], names=[c for c in b.schema.names if c != "names"] + ["names"])
+
+    return run
+
+
+#: Parts of a sequence that are joined at once.
+FAN = 64
+
+
 def sequences(events: DataFrame, longest: int = 5) -> DataFrame:
     """``seq_id, us, names``: the names of each sequence in order, and its first time.
 
     ``events``: seq_id, us, pos, id, name; rows with a null seq_id, us or
-    name are left out. Order is us, pos, id. Long sequences are shortened to
-    what matters to patterns of up to ``longest`` names, in runs of bounded
-    size before any group is formed, so a hot sequence isn't gathered whole.
+    name are left out. Order is us, pos, id. Rows are range-partitioned, so a
+    hot sequence lies in many partitions; each shortens its part to what
+    matters to patterns of up to ``longest`` names, and the parts are joined
+    and shortened again in a tree of ``FAN`` at a time, so no task gathers
+    more than that many short lists.
     """
     rows = events.select("seq_id", "us", F.coalesce("pos", F.lit(0)).cast("bigint").alias("pos"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "name").filter("seq_id is not null and us is not null and name is not null")
     order = ("seq_id", "us", "pos", "id")
-    runs = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs(longest), "seq_id string, us bigint, pos bigint, id string, names array<string>")
-    one = runs.groupBy("seq_id").agg(F.min("us").alias("us"), F.array_sort(F.collect_list(F.struct("us", "pos", "id", "names"))).alias("r"))
-    return one.select("seq_id", "us", F.flatten("r.names").alias("names"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written once: partitions are told apart by their number.
+    parts = materialize(placed.select("seq_id", "us", "name").mapInArrow(_runs(longest), "seq_id string, part bigint, us bigint, names array<string>"))
+    joined = lambda df, *keys: df.groupBy(*keys).agg(F.min("us").alias("us"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "names"))), lambda x: x["names"])).alias("names"))
+    most = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while most > FAN:
+        up = parts.withColumn("part", F.floor(F.col("part") / FAN))
+        parts = joined(up, "seq_id", "part").select("seq_id", "part", "us", "names").mapInArrow(_merged(longest), "seq_id string, part bigint, us bigint, names array<string>")
+        most = -(-most // FAN)
+    return joined(parts, "seq_id").select("seq_id", "us", "names")
 
 
 def frequent(seqs: DataFrame, group: str, share: float = 0.2, least: int = 3, shortest: int = 3, longest: int = 5, block: int = BLOCK) -> DataFrame:

@@ -1,7 +1,7 @@
 """Encoding of a whole corpus with a public byte-level tokenizer.
 
-Overlapping chunk encoding: a text of more than ``chunk`` characters is cut
-into overlapping chunks. Each is pre-tokenised on its own; in the overlap of
+Overlapping chunk encoding: every text is cut into overlapping chunks of
+``chunk`` characters (a short one is a single chunk). Each is pre-tokenised on its own; in the overlap of
 two neighbours the first place where both have a pre-token boundary is a
 boundary of the whole text too (the pattern reads forward only, so equal
 boundaries go on equally), and there the text is cut for good. The pieces
@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Characters of a chunk and of the overlap of neighbours.
 CHUNK, OVERLAP = 16_000, 1_000
 #: Characters at a chunk's end whose pre-tokens may depend on what follows.
@@ -81,8 +83,7 @@ def _edges(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nos, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["key", "no", "head", "tail"])
 
 
-
-def _encode(path: str, keep: str):
+def _encode(path: str):
     def run(batches):
         enc = encoding(path)
         for b in batches:
@@ -104,26 +105,28 @@ def encode(docs: DataFrame, key: str, text: str, path: str | None = None, chunk:
     path = path or default_ranks()
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("part"))
     kind = docs.schema["doc"].dataType.simpleString()
-    short = docs.filter(F.coalesce(F.length("part") <= chunk, F.lit(True))).mapInArrow(_encode(path, "doc"), f"doc {kind}, ids array<int>")
-    long = docs.filter(F.length("part") > chunk).select("doc", "part", F.xxhash64("part", "doc").alias("h"))
-    # The chunks of all long texts, spread over the tasks. A row's key tells repeated documents apart only by their content.
+    none = F.lit(None)
+    # A text of one chunk has no neighbour to be stitched to: it is a piece as it stands.
+    single = docs.filter(F.coalesce(F.length("part") <= chunk, F.lit(True))).select("doc", none.cast("bigint").alias("key"), none.cast("int").alias("no"), none.cast("bigint").alias("copies"), "part")
     step = chunk - OVERLAP
-    uniq = long.groupBy("h", "doc", "part").agg(F.count("*").alias("copies"))
-    cut = uniq.select(F.col("h").alias("key"), "doc", "copies", F.length("part").alias("n"), "part")
+    # Texts of several chunks, spread over the tasks and written once. A row's key tells repeated documents apart only by their content.
+    long = docs.filter(F.length("part") > chunk).select("doc", "part", F.xxhash64("part", "doc").alias("key"))
+    cut = materialize(long.groupBy("key", "doc", "part").agg(F.count("*").alias("copies")).withColumn("n", F.length("part")))
     chunks = cut.select("key", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - OVERLAP - 1) / step))).alias("no"), "n", "part").select(
         "key", F.col("no").cast("int").alias("no"), (F.col("no") * step).cast("bigint").alias("start"), F.expr(f"substring(part, cast(no * {step} + 1 as int), {chunk})").alias("part"), (F.col("no") * step + chunk >= F.col("n")).alias("last")
     )
-    edges = chunks.repartition("key", "no").mapInArrow(_edges, "key bigint, no int, head array<bigint>, tail array<bigint>")
+    edges = materialize(chunks.repartition("key", "no").mapInArrow(_edges, "key bigint, no int, head array<bigint>, tail array<bigint>"))
     # A cut is the first boundary that a chunk's tail and the next one's head share.
     tails = edges.select("key", (F.col("no") + 1).alias("no"), "tail")
     cuts = edges.select("key", "no", "head").join(tails, ["key", "no"]).select("key", F.array_min(F.array_intersect("head", "tail")).alias("at")).filter("at is not null")
     places = cuts.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    pieces = (
-        cut.join(places, "key", "left")
-        .select("key", "doc", "copies", "part", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("at", F.array().cast("array<bigint>"))).alias("a"), F.concat(F.coalesce("at", F.array().cast("array<bigint>")), F.array(F.col("n").cast("bigint"))).alias("b"))).alias("no", "ab"))
-        .select("key", "doc", "copies", "no", F.expr("substring(part, cast(ab.a + 1 as int), cast(ab.b - ab.a as int))").alias("part"))
+    at = F.coalesce("at", F.array().cast("array<bigint>"))
+    ends = F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), at).alias("a"), F.concat(at, F.array(F.col("n").cast("bigint"))).alias("b"))
+    stitched = (
+        cut.join(places, "key", "left").select("doc", "key", "copies", "part", F.posexplode(ends).alias("no", "ab"))
+        .select("doc", "key", "no", "copies", F.expr("substring(part, cast(ab.a + 1 as int), cast(ab.b - ab.a as int))").alias("part"))
         .repartition("key", "no")
     )
-    coded = pieces.mapInArrow(_encode(path, "doc"), f"key bigint, doc {kind}, copies bigint, no int, ids array<int>")
-    joined = coded.groupBy("key", "doc", "copies").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p")).select("doc", F.flatten("p.ids").alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c")).select("doc", "ids")
-    return short.unionByName(joined).withColumnRenamed("doc", key)
+    coded = lambda df: df.mapInArrow(_encode(path), f"doc {kind}, key bigint, no int, copies bigint, ids array<int>")
+    joined = coded(stitched).groupBy("key", "doc", "copies").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p")).select("doc", F.flatten("p.ids").alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c")).select("doc", "ids")
+    return coded(single).select("doc", "ids").unionByName(joined).withColumnRenamed("doc", key)
