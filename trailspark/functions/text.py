@@ -140,14 +140,18 @@ def with_labels(calls: DataFrame, name: str = "name", raw: str = "input") -> Dat
     """Adds ``command``, ``verb`` and ``label`` to tool calls.
 
     The verb is the first word of the command without assignments, wrapper
-    shells (three deep) and folders; the label is the name with
-    ``:apply_patch`` or the verb. Each stage is a column of its own, so that
-    the plan doesn't repeat the stage before.
+    shells (of any depth) and folders; the label is the name with
+    ``:apply_patch`` or the verb. A command is unwrapped as often as it
+    holds ``-c`` or ``-lc``.
     """
     df = calls.withColumn("command", command_text(F.col(raw))).withColumn("_c", _stripped(F.col("command")))
-    for _ in range(3):
-        inner = F.regexp_replace(F.regexp_replace("_c", r"^\S+\s+-l?c\s*", ""), r"^['\"]", "")
-        df = df.withColumn("_c", F.when(F.col("_c").rlike(r"^(?:\S*/)?(?:bash|sh|zsh)\s+-l?c(?:\s|$)"), _stripped(inner)).otherwise(F.col("_c")))
+
+    def unwrapped(c: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(c, r"^\S+\s+-l?c\s*", ""), r"^['\"]", "")
+        return F.when(c.rlike(r"^(?:\S*/)?(?:bash|sh|zsh)\s+-l?c(?:\s|$)"), _stripped(inner)).otherwise(c)
+
+    depth = F.size(F.split("_c", r"\s-l?c(?:\s|$)")) - 1
+    df = df.withColumn("_c", F.when(depth > 0, F.aggregate(F.sequence(F.lit(1), depth), F.col("_c"), lambda c, _: unwrapped(c))).otherwise(F.col("_c")))
     df = df.withColumn("verb", F.nullif(F.regexp_extract(F.regexp_extract("_c", r"^(\S+)", 1), r"([^/]*)$", 1), F.lit("")))
     label = F.when(F.col(raw).contains(PATCH), F.concat(name, F.lit(":apply_patch"))).when(F.col("verb").isNotNull(), F.concat(name, F.lit(":"), "verb")).otherwise(F.col(name))
     return df.withColumn("label", F.coalesce(label, F.lit("(unknown)"))).drop("_c")
@@ -164,6 +168,21 @@ def server_b(name: Column) -> Column:
     return F.when(name.isin(BUILTIN_TOOLS), None).when(name.contains("__"), F.split_part(name, F.lit("__"), F.lit(1))).when(name.contains("."), F.split_part(name, F.lit("."), F.lit(1)))
 
 
+def estimated_tokens(c: Column) -> Column:
+    """A rough number of tokens: a quarter of the characters (UTF-16 units)."""
+    return half_up(utf16_length(c) / 4).cast("bigint")
+
+
+def local_hour(us: Column, zone: str = "UTC") -> Column:
+    """The hour of a time in microseconds, in a zone."""
+    return F.hour(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share as whole percent, such as ``37%``; of nothing ``0%``."""
+    return F.concat(F.when(whole > 0, half_up(part / whole * 100)).otherwise(0).cast("bigint").cast("string"), F.lit("%"))
+
+
 def quota(c: Column) -> dict[str, Column]:
     """The percentages of a usage panel's text."""
     num = lambda x, p, g: F.regexp_extract(x, p, g).try_cast("bigint")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.times import micros
+from .ordered import running_counts
 
 
 def calls_once(calls: DataFrame) -> DataFrame:
@@ -39,12 +40,16 @@ EDITORS = ["Edit", "Write", "NotebookEdit"]
 def tool_sequences(calls: DataFrame, shortest: int = 2, longest: int = 4, least: int = 3, least_sessions: int = 2) -> DataFrame:
     """n-grams of tool labels inside a step that recur: ``sequence, n, count, sessions``.
 
-    The calls of a step, in order of call_pos and id, meet their neighbours
-    by place; a step is bounded, and n-grams are counted before the shuffle.
+    The calls of a step, in order of call_pos and id, are numbered by ranges
+    (see ``ordered``), so a step may have any number of calls; a call hands
+    its label to the starts of the n-grams that it can end or lie in, and
+    n-grams are counted before the shuffle.
     """
     lab = tx.with_labels(calls.filter("step_id is not null")).select("session_id", "step_id", "call_pos", "id", "label")
-    w = Window.partitionBy("step_id").orderBy("call_pos", "id")
-    n = lab.select("session_id", *[F.lead("label", k).over(w).alias(f"l{k}") if k else F.col("label").alias("l0") for k in range(longest)])
+    placed = running_counts(lab, "step_id", ["call_pos", "id"], {"place": F.lit(True)})
+    given = placed.select("step_id", "session_id", "label", F.posexplode(F.sequence(F.col("place"), F.col("place") - (longest - 1), F.lit(-1))).alias("k", "at")).filter("at > 0")
+    slot = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    n = given.groupBy("step_id", "at").agg(slot(0, "session_id").alias("session_id"), *[slot(k, "label").alias(f"l{k}") for k in range(longest)])
     grams = n.select("session_id", F.explode(F.array(*[F.when(F.col(f"l{k - 1}").isNotNull(), F.array(*[F.col(f"l{i}") for i in range(k)])) for k in range(shortest, longest + 1)])).alias("sequence")).filter("sequence is not null")
     per = grams.groupBy("sequence", "session_id").agg(F.count("*").alias("c"))
     g = per.groupBy("sequence").agg(F.sum("c").alias("count"), F.count("*").alias("sessions"))
@@ -83,23 +88,46 @@ def switches(weekly: DataFrame, period: str, value: str) -> DataFrame:
     return weekly.select(period, F.lag(value).over(w).alias("from_value"), F.col(value).alias("to_value")).filter("from_value is not null and from_value != to_value")
 
 
-def before_after(changes: DataFrame, samples: DataFrame, k: int) -> DataFrame:
-    """The ``k`` samples before and from each change: ``change_id, side, sessions, prompts, corrections``.
+def before_after(changes: DataFrame, samples: DataFrame, k: int, sums: tuple[str, ...] = ("prompts", "corrections")) -> DataFrame:
+    """The ``k`` samples before and from each change: ``change_id, side, sessions`` and the ``sums``.
 
-    ``changes``: change_id, t; ``samples``: sample_id, t, prompts,
-    corrections; rows without a time are left out. Samples are numbered by
-    time once, and a change takes the ranks next to its place, so no pair of
-    all changes and all samples is made. With ``k`` of 0 both sides are empty.
+    ``changes``: change_id, t; ``samples``: sample_id, t and whole numbers
+    to sum; rows without a time are left out. Samples are numbered by time
+    once, and a change takes the ranks next to its place, so no pair of all
+    changes and all samples is made. With ``k`` of 0 both sides are empty.
     """
-    from .ordered import running_counts
-
-    flat = samples.filter("t is not null").select("t", F.lit(1).alias("is_sample"), F.col("sample_id").cast("string").alias("sid"), "prompts", "corrections", F.lit("all").alias("g"))
-    marks = changes.filter("t is not null").select("t", F.lit(0).alias("is_sample"), F.col("change_id").cast("string").alias("sid"), F.lit(None).cast("bigint").alias("prompts"), F.lit(None).cast("bigint").alias("corrections"), F.lit("all").alias("g"))
+    flat = samples.filter("t is not null").select("t", F.lit(1).alias("is_sample"), F.col("sample_id").cast("string").alias("sid"), *sums, F.lit("all").alias("g"))
+    marks = changes.filter("t is not null").select("t", F.lit(0).alias("is_sample"), F.col("change_id").cast("string").alias("sid"), *[F.lit(None).cast("bigint").alias(c) for c in sums], F.lit("all").alias("g"))
     # At equal times a change stands before the samples, which so count as after it.
     n = running_counts(flat.unionByName(marks), "g", ["t", "is_sample", "sid"], {"place": F.col("is_sample") == 1})
     around = n.filter("is_sample = 0").select(F.col("sid").alias("change_id"), F.explode(F.sequence(F.col("place") - (k - 1), F.col("place") + k) if k > 0 else F.array().cast("array<bigint>")).alias("at"), F.col("place").alias("p")).withColumn("side", F.when(F.col("at") <= F.col("p"), "before").otherwise("after"))
-    met = around.join(n.filter("is_sample = 1").select(F.col("place").alias("at"), "prompts", "corrections"), "at")
-    return met.groupBy("change_id", "side").agg(F.count("*").alias("sessions"), F.sum("prompts").alias("prompts"), F.sum("corrections").alias("corrections"))
+    met = around.join(n.filter("is_sample = 1").select(F.col("place").alias("at"), *sums), "at")
+    return met.groupBy("change_id", "side").agg(F.count("*").alias("sessions"), *[F.sum(c).alias(c) for c in sums])
+
+
+def efficacy(changes: DataFrame, samples: DataFrame, k: int) -> DataFrame:
+    """:func:`before_after` with the rates of corrections and interruptions per prompt (null without prompts)."""
+    g = before_after(changes, samples, k, ("prompts", "corrections", "interruptions"))
+    per = lambda c: F.when(F.col("prompts") > 0, tx.half_up(F.col(c) / F.col("prompts"), 6))
+    return g.select("change_id", "side", "sessions", "prompts", per("corrections").alias("correction_rate"), per("interruptions").alias("interruption_rate"))
+
+
+def first_of_forks(steps: DataFrame) -> DataFrame:
+    """Steps once per id and excerpt, as forked transcripts repeat them: that of the newest session, by its last time and id."""
+    key = F.struct("session_last", "session_id")
+    last = steps.groupBy(F.col("session_id").alias("_s")).agg(F.max("us").alias("session_last"))
+    seen = steps.join(last, F.col("session_id").eqNullSafe(F.col("_s")), "left")
+    return seen.groupBy("id", tx.preview(F.col("promptText"), 600).alias("excerpt")).agg(F.max(key).alias("k"), F.count("*").alias("copies")).select("id", "excerpt", F.col("k.session_id").alias("session_id"), "copies")
+
+
+def newest(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in an order.
+
+    Spark keeps only ``k`` rows of a group in each task before the shuffle
+    (a rank filter over a window), so no group is gathered whole.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
 
 
 def longest_prefix(rows: DataFrame, value: Column, keys: DataFrame, key: str) -> DataFrame:
