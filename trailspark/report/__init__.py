@@ -6,9 +6,10 @@ import html
 import json
 import os
 import re
+import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a report shows; result frames of reports are small by design, and more is an error.
@@ -82,34 +83,74 @@ def merge_answers(existing: str | None, entries: list[dict]) -> tuple[str, int]:
     return (base.rstrip("\n") + "\n\n" if fresh and base and not base.endswith("\n\n") else base) + "\n".join(fresh), len(fresh)
 
 
+def _listed(text: str) -> list:
+    """The JSON list between the first ``[`` and the last ``]`` of a model's answer; raises ValueError without one."""
+    a, b = text.find("["), text.rfind("]")
+    got = json.loads(text[a : b + 1]) if 0 <= a < b else None
+    if not isinstance(got, list):
+        raise ValueError("the answer holds no list")
+    return got
+
+
+def _number(v) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
 def read_grades(text: str, known: set[str]) -> list[dict]:
-    """The grades in a model's answer: the JSON list between its first ``[`` and last ``]``.
+    """The grades in a model's answer: objects with a known ``id`` and numbers ``clarity`` and ``context``; a ``tip`` that is no text is empty.
 
-    Kept are objects with a known ``id`` and a number ``score``. Raises
-    ValueError if none is left.
+    Raises ValueError if the answer holds no list.
     """
-    a, b = text.find("["), text.rfind("]")
-    try:
-        got = json.loads(text[a : b + 1]) if 0 <= a < b else []
-    except ValueError:
-        got = []
-    out = [g for g in got if isinstance(g, dict) and g.get("id") in known and isinstance(g.get("score"), (int, float)) and not isinstance(g.get("score"), bool)]
-    if not out:
-        raise ValueError("the answer holds no grades")
-    return out
+    return [g | {"tip": g["tip"] if isinstance(g.get("tip"), str) else ""} for g in _listed(text) if isinstance(g, dict) and isinstance(g.get("id"), str) and g["id"] in known and _number(g.get("clarity")) and _number(g.get("context"))]
 
 
-def write_fork(kept: DataFrame, folder: str, old_id: str, raw: str = "raw") -> tuple[str, str, int]:
+def grade_averages(spark: SparkSession, grades: list[dict]) -> DataFrame:
+    """One row ``grades, avg_clarity, avg_context``: means to one place; null without grades."""
+    rows = [(float(g["clarity"]), float(g["context"])) for g in grades]
+    one = lambda c: (F.floor(F.avg(c) * 10 + 0.5) / 10).alias(f"avg_{c}")
+    return spark.createDataFrame(rows, "clarity double, context double").agg(F.count("*").alias("grades"), one("clarity"), one("context"))
+
+
+def read_themes(text: str) -> list[tuple[str, list[str]]]:
+    """``theme, sessions`` (short ids) of a model's answer; what isn't of that form is left out."""
+    return [(t["theme"], [x for x in t["sessions"] if isinstance(x, str)]) for t in _listed(text) if isinstance(t, dict) and isinstance(t.get("theme"), str) and isinstance(t.get("sessions"), list)]
+
+
+def write_fork(kept: DataFrame, folder: str, old_id: str, raw: str = "raw", agent: str = "a") -> tuple[str, str, int, int]:
     """Writes the kept lines of one session as a new file under a new id.
 
     ``kept``: line_no and ``raw`` of one session. The old id is replaced
-    where it stands as a JSON string. Returns id, path and lines written.
+    where it stands as a JSON string. A format A fork takes a copy of the
+    session's side folder (named by the old id) with it; a format B fork's
+    meta line names the session that it was forked from. Returns id, path,
+    lines written and files copied.
     """
     new_id = str(uuid.uuid4())
-    path = os.path.join(folder, f"{new_id}.jsonl")
+    path = os.path.join(folder, f"{new_id}.jsonl" if agent == "a" else f"rollout-fork-{new_id}.jsonl")
     n = 0
     with open(path, "w") as f:
         for r in kept.select("line_no", F.col(raw).alias("raw")).orderBy("line_no").toLocalIterator():
-            f.write(r.raw.replace(f'"{old_id}"', f'"{new_id}"') + "\n")
+            line = r.raw.replace(f'"{old_id}"', f'"{new_id}"')
+            if agent == "b":
+                line = _as_fork(line, old_id, new_id)
+            f.write(line + "\n")
             n += 1
-    return new_id, path, n
+    side, copied = os.path.join(folder, old_id), 0
+    if agent == "a" and os.path.isdir(side):
+        shutil.copytree(side, os.path.join(folder, new_id))
+        copied = sum(len(files) for _, _, files in os.walk(side))
+    return new_id, path, n, copied
+
+
+def _as_fork(line: str, old_id: str, new_id: str) -> str:
+    """A meta line with the new id and where it was forked from; any other line as it is."""
+    if "session_meta" not in line:
+        return line
+    try:
+        v = json.loads(line)
+    except ValueError:
+        return line
+    if not isinstance(v, dict) or v.get("type") != "session_meta" or not isinstance(v.get("payload"), dict):
+        return line
+    v["payload"] |= {"id": new_id, "forked_from_id": old_id}
+    return json.dumps(v, ensure_ascii=False)

@@ -43,23 +43,46 @@ def instruction_changes(spark: SparkSession, repo: str, files: list[str], log: C
     return spark.createDataFrame(rows, "file string, commit string, date string, subject string").orderBy("date", "commit")
 
 
-def instruction_files(spark: SparkSession, repo: str, files: list[str]) -> DataFrame:
+def instruction_files(spark: SparkSession, repo: str, files: list[str], log: Callable[[str, str], str] = git_log) -> DataFrame:
+    """Whether each file is there, its size and time of change, and how many commits touched it."""
     rows = []
     for f in files:
         p = os.path.join(repo, f)
         there = os.path.exists(p)
-        rows.append((f, there, os.path.getsize(p) if there and os.path.isfile(p) else None))
-    return spark.createDataFrame(rows, "file string, present boolean, size_bytes bigint")
+        try:
+            commits = len([x for x in log(repo, f).splitlines() if x.strip()])
+        except (OSError, ValueError):
+            commits = 0
+        rows.append((f, there, os.path.getsize(p) if there and os.path.isfile(p) else None, os.path.getmtime(p) if there else None, commits))
+    return spark.createDataFrame(rows, "file string, present boolean, size_bytes bigint, changed double, commits bigint").withColumn("changed", F.timestamp_seconds("changed"))
 
 
 def installed_commands(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """``name`` of each skill folder and command file under the roots, once."""
-    names = set()
-    for root in roots:
+    """``name`` of each skill folder, command file and plugin under the roots, and of what plugins install, once.
+
+    A plugin stands in ``plugins/installed_plugins.json`` as ``name@source``,
+    with the folders that it is installed in.
+    """
+    names: set[str] = set()
+
+    def listed(root: str) -> None:
         for sub, ending in (("skills", ""), ("commands", ".md")):
             folder = os.path.join(root, sub)
             if os.path.isdir(folder):
-                names |= {n.removesuffix(ending) for n in os.listdir(folder) if n.endswith(ending) and not n.startswith(".")}
+                names.update(n.removesuffix(ending) for n in os.listdir(folder) if n.endswith(ending) and not n.startswith("."))
+
+    for root in roots:
+        listed(root)
+        try:
+            with open(os.path.join(root, "plugins", "installed_plugins.json")) as f:
+                plugins = json.load(f).get("plugins", {})
+        except (OSError, ValueError, AttributeError):
+            continue
+        for name, entries in plugins.items() if isinstance(plugins, dict) else ():
+            names.add(name.partition("@")[0])
+            for e in entries if isinstance(entries, list) else [entries]:
+                if isinstance(e, dict) and isinstance(e.get("installPath"), str):
+                    listed(e["installPath"])
     return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
 
 

@@ -94,8 +94,8 @@ def find(refs: DataFrame, id_or_prefix: str) -> str | None:
     return got[0] if got else None
 
 
-def in_scope(refs: DataFrame, agent: str = "all", since: str | None = None, limit: int | None = None) -> DataFrame:
-    """The refs of a report: agent and time filter, newest ``limit``, and only then the size limit."""
+def in_scope(refs: DataFrame, agent: str = "all", since: str | None = None, limit: int | None = None, largest: int | None = LARGEST) -> DataFrame:
+    """The refs of a report: agent and time filter, newest ``limit``, and only then the size limit ``largest`` (None: no limit)."""
     if agent not in ("all", "a", "b"):
         raise ValueError(f"unknown agent {agent}")
     out = refs if agent == "all" else refs.filter(F.col("agent") == agent)
@@ -106,17 +106,21 @@ def in_scope(refs: DataFrame, agent: str = "all", since: str | None = None, limi
             out = out.filter(F.col("updated_at") >= F.lit(since).cast("timestamp"))
     if limit is not None:
         out = out.orderBy(F.desc_nulls_last("updated_at"), "session_id").limit(limit)
-    return out.filter(F.col("size_bytes") <= LARGEST)
+    return out if largest is None else out.filter(F.col("size_bytes") <= largest)
 
 
-def first_folder(lines: DataFrame, within: int = 8) -> DataFrame:
+#: First lines in which a file of each agent names its folder.
+WITHIN = {"a": 8, "b": 3}
+
+
+def first_folder(lines: DataFrame, agent: str = "a") -> DataFrame:
     """``file_path, cwd``: the first text ``cwd`` in the first lines of each file."""
     def text(path: str):
         x = F.try_variant_get("value", path, "variant")
         return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
     c = F.coalesce(text("$.cwd"), text("$.payload.cwd"))
-    return head(lines, within).withColumn("cwd", c).filter("cwd is not null").groupBy("file_path").agg(F.min_by("cwd", "line_no").alias("cwd"))
+    return head(lines, WITHIN[agent]).withColumn("cwd", c).filter("cwd is not null").groupBy("file_path").agg(F.min_by("cwd", "line_no").alias("cwd"))
 
 
 #: Readers by agent: adding one makes its files part of every report.

@@ -34,29 +34,40 @@ def weekly_counts(stream: DataFrame, by: str) -> DataFrame:
 
 
 def with_git(prompts: DataFrame, events: DataFrame, seconds: int = 20) -> DataFrame:
-    """Prompts joined with the events of their session at most ``seconds`` away.
+    """Prompts joined with the event of their session that is nearest and at most ``seconds`` away.
 
     Both streams need a watermark on ``ts``; both sides' state is dropped
-    once the watermark passes.
+    once the watermark passes, and only then a prompt's row comes out.
     """
     e = events.select(F.col("session_id").alias("e_session"), F.col("ts").alias("e_ts"), "head")
     near = F.expr(f"session_id = e_session and e_ts between ts - interval {seconds} seconds and ts + interval {seconds} seconds")
-    return prompts.join(e, near).select("session_id", "ts", "e_ts", "head")
+    d = F.abs(F.unix_micros("ts") - F.unix_micros("e_ts"))
+    met = prompts.join(e, near).select("session_id", "ts", d.alias("d"), "head", F.unix_micros("e_ts").alias("e_us"))
+    best = met.groupBy("session_id", "ts").agg(F.min(F.struct("d", "e_us", "head")).alias("b"))
+    return best.select("session_id", "ts", F.timestamp_micros("b.e_us").alias("e_ts"), F.col("b.head").alias("head"))
 
 
-def numbered_steps(stream: DataFrame) -> DataFrame:
+def numbered_steps(stream: DataFrame, idle: str | None = "30 days") -> DataFrame:
     """Adds the step number in its session to each row, across micro-batches.
 
     ``stream``: session_id, line_no, opens. Rows of a batch are taken in
-    order of line_no; a session's state is its last number.
+    order of line_no; a session's state is its last number, and it is
+    forgotten after an ``idle`` time without rows (numbers then begin anew);
+    None keeps it for ever.
     """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else -1
         pdf = pd.concat(list(pdfs)).sort_values("line_no")
         idx = pdf["opens"].fillna(False).astype(int).cumsum() + last
         if len(pdf):
             state.update((int(idx.iloc[-1]),))
+            if wait:
+                state.setTimeoutDuration(wait)
         yield pd.DataFrame({"session_id": key[0], "line_no": pdf["line_no"], "step_idx": idx.astype("int64")})
 
-    return stream.select("session_id", "line_no", "opens").groupBy("session_id").applyInPandasWithState(run, "session_id string, line_no bigint, step_idx bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    wait = max(1, int(pd.Timedelta(idle).total_seconds() * 1000)) if idle else None
+    return stream.select("session_id", "line_no", "opens").groupBy("session_id").applyInPandasWithState(run, "session_id string, line_no bigint, step_idx bigint", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
