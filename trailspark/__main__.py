@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from . import report
 from .functions import text as tx
 from .functions.times import micros
 from .operators import cluster, facts, format_a, format_b, rollups, signals
-from .session import build_session
+from .session import build_session, materialize
 from .sources import sidecars, transcripts
 
 #: Files per scope unless ``--limit`` says otherwise.
@@ -43,16 +44,28 @@ class Scope:
         la, lb = format_a.lines(self.records), format_b.lines(self.codes)
         kept = facts.without_internal(facts.facts(self.records, self.codes), SENTINEL)
         kept = kept if subagents else facts.without_subagents(kept)
-        self.files = facts.in_repo(kept, repo) if repo else kept
+        # Normalized tables are written once; every part of a report reads them.
+        self.files = materialize(facts.in_repo(kept, repo) if repo else kept)
         self.facts = facts.by_session(self.files)
         only = self.files.select("file_path")
         self.rows_a, self.rows_b = format_a.in_steps(la.join(only, "file_path", "left_semi")), format_b.in_turns(lb.join(only, "file_path", "left_semi"))
-        # A format B step carries its file; facts name the session.
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        """A format B step carries its file; facts name the session."""
         named = self.files.filter("agent = 'b'").select(F.col("file_path").alias("_f"), F.col("session_id").alias("_s"))
-        own = lambda df: df.join(named, F.col("session_id") == F.col("_f"), "left").withColumn("session_id", F.coalesce("_s", "session_id")).drop("_f", "_s")
-        self.steps = format_a.steps_table(self.rows_a).unionByName(own(format_b.steps_table(self.rows_b)))
-        self.calls = rollups.calls_once(format_a.calls_table(self.rows_a).unionByName(own(format_b.calls_table(self.rows_b))))
-        self.once = signals.once(self.steps).withColumn("us", micros(F.col("timestamp")))
+        return df.join(named, F.col("session_id") == F.col("_f"), "left").withColumn("session_id", F.coalesce("_s", "session_id")).drop("_f", "_s")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return materialize(format_a.steps_table(self.rows_a).unionByName(self._own(format_b.steps_table(self.rows_b))))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return materialize(rollups.calls_once(format_a.calls_table(self.rows_a).unionByName(self._own(format_b.calls_table(self.rows_b)))))
+
+    @cached_property
+    def once(self) -> DataFrame:
+        return signals.once(self.steps).withColumn("us", micros(F.col("timestamp")))
 
     def signals(self) -> DataFrame:
         return signals.signals(self.steps)
