@@ -25,6 +25,6 @@ def test_counted_and_joined_rows_are_never_broadcast(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["a_fork_at_second_step", "a_tool_calls"])
+@pytest.mark.parametrize("name", ["a_fork_at_second_step", "a_tool_calls", "a_step_usage"])
 def test_no_numbered_table_is_sent_to_the_driver(spark, name):
     assert not re.search(r"BroadcastHashJoin [^\n]*_part", plan(entry.queries()[name](spark, DATA)))
