@@ -50,3 +50,13 @@ def test_prompts_are_only_compared_with_leaders(spark, monkeypatch):
     monkeypatch.setattr(cluster, "BLOCK", 200)
     monkeypatch.setattr(cluster, "BLOCK_WORDS", 900)
     assert {r["rank"]: r.leader for r in cluster.leaders(df).collect()} == want
+
+
+def test_examples_are_the_same_in_small_blocks(spark, monkeypatch):
+    text = "please bake the sourdough bread with seeds number"
+    rows = [(f"i{i}", f"s{i % 3}", i, 40 + i, f"{text} {'xyz'[i % 3] * 4} {i}00", False, False, "prompt") for i in range(9)]
+    sig = spark.createDataFrame(rows, "id string, session_id string, us long, chars long, promptText string, is_correction boolean, is_question boolean, kind string")
+    want = sorted(cluster.examples(sig).collect())
+    assert [r.id for r in sorted(want, key=lambda r: r.place)] == ["i8", "i7", "i6", "i5", "i4"] and {r.leader_id for r in want} == {"i8"}
+    monkeypatch.setattr(cluster, "BLOCK", 2)
+    assert sorted(cluster.examples(sig).collect()) == want
