@@ -31,6 +31,13 @@ def test_no_numbered_table_is_sent_to_the_driver(spark, name):
     assert not re.search(r"BroadcastHashJoin [^\n]*_part", plan(entry.queries()[name](spark, DATA)))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["a_tool_calls"])
+def test_no_table_with_a_row_per_file_is_sent_to_the_driver_as_it_runs(spark, name):
+    df = entry.queries()[name](spark, DATA)
+    assert df.collect() and "isFinalPlan=true" in plan(df) and "Broadcast" not in plan(df)
+
+
 def test_prompts_are_only_compared_with_leaders(spark, monkeypatch):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(30)]

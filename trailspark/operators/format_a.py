@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -10,29 +10,51 @@ from . import records as rec
 from .ordered import joined, numbered
 
 
-def lines(raw: DataFrame) -> DataFrame:
-    """Each line of each file once (re-ingested copies are equal), classified."""
-    cols = [c for c in raw.columns if c not in ("file_path", "line_no")]
-    once = raw.filter("file_path is not null and line_no is not null").groupBy("file_path", "line_no").agg(F.max_by(F.struct(*cols), F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("_r"))
-    return rec.classified(once.select("file_path", "line_no", "_r.*"))
+def lines(raw: DataFrame, needed: list[Column] | None = None) -> DataFrame:
+    """Each line of each file once (re-ingested copies are equal), classified.
 
+    With ``needed`` (of the classified columns) only these travel, each
+    worked out before the shuffle.
+    """
+    rows = raw.filter("file_path is not null and line_no is not null")
+    if needed is not None:
+        rows = rec.classified(rows).select("file_path", "line_no", "ingested_at", *needed)
+    cols = [c for c in rows.columns if c not in ("file_path", "line_no")]
+    once = rows.groupBy("file_path", "line_no").agg(F.max_by(F.struct(*cols), F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("_r")).select("file_path", "line_no", "_r.*")
+    return rec.classified(once) if needed is None else once.drop("ingested_at")
+
+
+def _marks() -> tuple[Column, Column]:
+    """Whether a row opens a step, and whether it stands in one even if none was opened before."""
+    opens = F.col("row_class").isin("prompt", "command")
+    return opens, opens | ((F.col("type") == "assistant") & F.col("message").isNotNull())
 
-def in_steps(lines_: DataFrame) -> DataFrame:
+
+def in_steps(lines_: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Adds ``step_idx`` (from 0; null before the first step).
 
     A prompt or command opens a step; an assistant row before any of them
-    opens one without a prompt.
+    opens one without a prompt. ``marks``: the same lines with ``_opens`` and
+    ``_acts`` of :func:`stepped`, if these are known.
     """
-    opens = F.col("row_class").isin("prompt", "command")
-    said = (F.col("type") == "assistant") & F.col("message").isNotNull()
+    if marks is None:
+        opens, acts = _marks()
+        marks = lines_.select("file_path", "line_no", opens.alias("_opens"), acts.alias("_acts"))
     # Only the numbers are shuffled by order; each query joins them to the columns it needs.
-    n = numbered(lines_, "file_path", ["line_no"], {"_opened": opens, "_acted": opens | said})
+    n = numbered(marks, "file_path", ["line_no"], {"_opened": F.col("_opens"), "_acted": F.col("_acts")})
     first = n.groupBy("file_path").agg(F.max((F.col("_opened") == 0) & (F.col("_acted") > 0)).cast("bigint").alias("_anon"))
-    n = joined(lines_, n.join(first, "file_path"), "file_path", ["line_no"])
+    # A row per file: these may be many, so they are never broadcast.
+    n = joined(lines_, n.hint("merge").join(first, "file_path"), "file_path", ["line_no"])
     idx = F.when(F.col("_opened") > 0, F.col("_opened") - 1 + F.col("_anon")).when(F.col("_acted") > 0, F.lit(0))
     return n.withColumn("step_idx", idx).drop("_opened", "_acted", "_anon")
 
 
+def stepped(raw: DataFrame, needed: list[Column]) -> DataFrame:
+    """:func:`in_steps` of the :func:`lines` of ``raw`` with the ``needed`` columns; the numbers are made of keys and marks alone."""
+    opens, acts = _marks()
+    return in_steps(lines(raw, needed), lines(raw, [opens.alias("_opens"), acts.alias("_acts")]))
+
+
 def steps(rows: DataFrame) -> DataFrame:
     """One row per step of :func:`in_steps` rows."""
     opens = F.col("row_class").isin("prompt", "command")

@@ -71,7 +71,8 @@ _MCP = "regexp_matches(name, '^mcp__(.+?)__') AS is_mcp, nullif(regexp_extract(n
 
 @query(f"WITH {STEPS_A}{_BLOCKS} SELECT file_path, line_no, step_idx, pos, call_id, name, {_MCP} FROM tc")
 def a_tool_calls(spark, folder):
-    return a.tool_calls(a.in_steps(lines_a(spark, folder)))
+    content = F.when(F.col("type") == "assistant", F.col("message.content"))
+    return a.tool_calls(a.stepped(table(spark, folder, "claude_records"), [F.col("type"), F.struct(content.alias("content")).alias("message")]))
 
 
 @query(f"""WITH {STEPS_A}{_BLOCKS} SELECT c.file_path, c.line_no, c.pos, c.call_id, c.name, arg_max(r.is_error, r.line_no * 1000 + r.pos) AS is_error,
