@@ -32,7 +32,7 @@ def test_no_numbered_table_is_sent_to_the_driver(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["a_tool_calls"])
+@pytest.mark.parametrize("name", ["a_tool_calls", "a_step_usage"])
 def test_no_table_with_a_row_per_file_is_sent_to_the_driver_as_it_runs(spark, name):
     df = entry.queries()[name](spark, DATA)
     assert df.collect() and "isFinalPlan=true" in plan(df) and "Broadcast" not in plan(df)

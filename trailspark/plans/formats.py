@@ -54,7 +54,8 @@ _SUMS = "count(*) AS api_calls, CAST(sum(i) AS BIGINT) AS input, CAST(sum(o) AS
 
 @query(f"WITH {STEPS_A}{_CALLS} SELECT file_path, step_idx, {_SUMS} FROM calls GROUP BY ALL")
 def a_step_usage(spark, folder):
-    return a.usage_by(a.api_calls(a.in_steps(lines_a(spark, folder))), "file_path", "step_idx")
+    rows = a.stepped(table(spark, folder, "claude_records"), [F.col("type"), F.col("uuid"), F.col("requestId"), F.col("message").dropFields("content").alias("message")])
+    return a.usage_by(a.api_calls(rows), "file_path", "step_idx")
 
 
 @query(f"WITH {STEPS_A}{_CALLS} SELECT file_path, model, {_SUMS} FROM calls WHERE model IS NOT NULL GROUP BY ALL")
