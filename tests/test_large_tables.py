@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from trailspark.operators import cluster, ordered
+from trailspark.operators import cluster, format_a, ordered
 
 DATA = "/root/testdata/sf0.001"
 
@@ -67,3 +67,18 @@ def test_examples_are_the_same_in_small_blocks(spark, monkeypatch):
     assert [r.id for r in sorted(want, key=lambda r: r.place)] == ["i8", "i7", "i6", "i5", "i4"] and {r.leader_id for r in want} == {"i8"}
     monkeypatch.setattr(cluster, "BLOCK", 2)
     assert sorted(cluster.examples(sig).collect()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_examples_shuffle_the_records_once_and_only_what_answers_need(spark):
+    p = plan(entry.queries()["cluster_examples"](spark, DATA))
+    assert len(re.findall(r"FileScan parquet [^\n]*claude_records", p)) == 1 and "parentUuid" not in p
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_answers_are_the_responses_of_steps(spark):
+    raw = spark.read.parquet(f"{DATA}/claude_records.parquet")
+    rows = format_a.in_steps(format_a.lines(raw))
+    met = format_a.responses(rows).join(format_a.steps(rows).select("file_path", "step_idx", "step_id"), ["file_path", "step_idx"])
+    want = met.groupBy(F.lower("step_id").alias("id")).agg(F.min("response").alias("answer"))
+    assert sorted(format_a.answers(raw).collect(), key=str) == sorted(want.collect(), key=str) and want.count() > 20

@@ -10,15 +10,15 @@ from . import records as rec
 from .ordered import joined, numbered
 
 
-def lines(raw: DataFrame, needed: list[Column] | None = None) -> DataFrame:
+def lines(raw: DataFrame, needed: list[Column] | None = None, content: Column | None = None) -> DataFrame:
     """Each line of each file once (re-ingested copies are equal), classified.
 
     With ``needed`` (of the classified columns) only these travel, each
-    worked out before the shuffle.
+    worked out before the shuffle, from ``content`` (see ``rec.classified``).
     """
     rows = raw.filter("file_path is not null and line_no is not null")
     if needed is not None:
-        rows = rec.classified(rows).select("file_path", "line_no", "ingested_at", *needed)
+        rows = rec.classified(rows, content).select("file_path", "line_no", "ingested_at", *needed)
     cols = [c for c in rows.columns if c not in ("file_path", "line_no")]
     once = rows.groupBy("file_path", "line_no").agg(F.max_by(F.struct(*cols), F.coalesce("ingested_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("_r")).select("file_path", "line_no", "_r.*")
     return rec.classified(once) if needed is None else once.drop("ingested_at")
@@ -52,7 +52,9 @@ def in_steps(lines_: DataFrame, marks: DataFrame | None = None) -> DataFrame:
 def stepped(raw: DataFrame, needed: list[Column]) -> DataFrame:
     """:func:`in_steps` of the :func:`lines` of ``raw`` with the ``needed`` columns; the numbers are made of keys and marks alone."""
     opens, acts = _marks()
-    return in_steps(lines(raw, needed), lines(raw, [opens.alias("_opens"), acts.alias("_acts")]))
+    # Only the class of user rows depends on what they hold.
+    said_by_users = F.when(F.col("type") == "user", F.col("message.content"))
+    return in_steps(lines(raw, needed), lines(raw, [opens.alias("_opens"), acts.alias("_acts")], said_by_users))
 
 
 def steps(rows: DataFrame) -> DataFrame:
@@ -158,6 +160,16 @@ def responses(rows: DataFrame) -> DataFrame:
     return t.select("file_path", "step_idx", tx.trimmed(F.array_join("t.text", "\n")).alias("response")).filter("response != ''")
 
 
+def answers(raw: DataFrame) -> DataFrame:
+    """``id`` (lower case), ``answer``: the least response of each step id of raw rows, as :func:`steps` and :func:`responses` tell them, in one pass."""
+    opens, said = _marks()[0], F.col("type") == "assistant"
+    rows = stepped(raw, [F.col("type"), F.col("row_class"), F.when(opens | said, F.col("uuid")).alias("uuid"), F.when(said, F.col("text")).alias("text")])
+    # Other rows have no part in either, and no step is without one of these.
+    g = rows.filter((opens | said) & F.col("step_idx").isNotNull()).groupBy("file_path", "step_idx").agg(F.min(F.struct("line_no", "uuid")).alias("o"), F.collect_list(F.when(said & (F.col("text") != ""), F.struct("line_no", "text"))).alias("t"))
+    response = tx.trimmed(F.array_join(F.array_sort("t").getField("text"), "\n"))
+    return g.select(F.lower("o.uuid").alias("id"), response.alias("response")).filter("response != ''").groupBy("id").agg(F.min("response").alias("answer"))
+
+
 def fork(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """The lines kept when each file is forked at a step: ``rows`` plus ``kept``.
 

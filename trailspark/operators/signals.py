@@ -18,13 +18,18 @@ def once(steps: DataFrame) -> DataFrame:
     return steps.filter("id is not null").groupBy("id").agg(F.max(F.struct("step_idx", *rest)).alias("_r")).select("id", "_r.*")
 
 
+def featured(steps: DataFrame) -> DataFrame:
+    """Steps with a non-blank prompt, once, with their time and features."""
+    return once(steps).filter(tx.trimmed(F.col("promptText")) != "").withColumn("us", micros(F.col("timestamp"))).withColumns(tx.prompt_features(F.col("promptText")))
+
+
 def signals(steps: DataFrame) -> DataFrame:
     """Steps with a non-blank prompt: features, gap to the prompt before, and whether the next one corrects.
 
     The gap is null where a time is unreadable or runs backwards. Order in a
     session is step_idx, then id.
     """
-    s = once(steps).filter(tx.trimmed(F.col("promptText")) != "").withColumn("us", micros(F.col("timestamp"))).withColumns(tx.prompt_features(F.col("promptText")))
+    s = featured(steps)
     n = with_neighbours(s, "session_id", ["step_idx", "id"], before={"us": "_prev_us"}, after={"is_correction": "_next_correction"})
     gap = F.floor((F.col("us") - F.col("_prev_us")) / 1000).cast("bigint")
     return n.withColumns({"gap_ms": F.when(gap >= 0, gap), "corrected_by_next": F.coalesce("_next_correction", F.lit(False)), "week": week_key(F.col("us"))}).drop("_prev_us", "_next_correction", "place")

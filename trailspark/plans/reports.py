@@ -334,6 +334,5 @@ def local_hours(spark, folder):
 @query()
 def cluster_examples(spark, folder):
     """Each cluster's first three prompts, first five members, and the first answer that one of them got."""
-    rows = format_a.in_steps(format_a.lines(table(spark, folder, "claude_records")))
-    answers = format_a.responses(rows).join(format_a.steps(rows).select("file_path", "step_idx", "step_id"), ["file_path", "step_idx"]).groupBy(F.lower("step_id").alias("id")).agg(F.min("response").alias("answer"))
-    return cl.examples(ss.signals(spark, folder), answers)
+    # Neither gaps nor neighbours of a prompt have a part in its cluster.
+    return cl.examples(sg.featured(table(spark, folder, "steps")), format_a.answers(table(spark, folder, "claude_records")))
